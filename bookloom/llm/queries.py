@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, gif, mixing, secrets, simhash
+from . import chat, gif, mixing, pivots, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ QUERIES: dict[str, Query] = {
     "op1_secret_scan": _over("documents", secrets.scan_digests),
     "op3_chat_format": _over("conversations", chat.format_digests),
     "op4_source_mix": _over("documents", mixing.mix_digests),
+    "op5_pivot_dedup": _over("embeddings", pivots.near_duplicates),
     "op9_simhash_dedup": _over("documents", simhash.group_digests),
     "op10_gif_media": _over("documents", gif.media_digests),
 }
