@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, gif, mixing, pivots, secrets, simhash
+from . import chat, gam, gif, mixing, pivots, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,7 @@ QUERIES: dict[str, Query] = {
     "op3_chat_format": _over("conversations", chat.format_digests),
     "op4_source_mix": _over("documents", mixing.mix_digests),
     "op5_pivot_dedup": _over("embeddings", pivots.near_duplicates),
+    "op6_quality_gam": lambda spark, d: gam.quality_digests(*(spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))),
     "op9_simhash_dedup": _over("documents", simhash.group_digests),
     "op10_gif_media": _over("documents", gif.media_digests),
 }
