@@ -16,6 +16,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -54,47 +55,61 @@ _GREY = bytes(x for i in range(256) for x in (i, i, i))
 _ROOTS = [bytes((i,)) for i in range(256)]
 
 
-def lzw_encode(data: bytes, bits: int = 8) -> bytes:
-    clear, end, first = 1 << bits, (1 << bits) + 1, (1 << bits) + 2
+def _runs(data: bytes, first: int) -> list[list[int]]:
+    """Codes of one stream, without the clear code that leads: runs that end in a clear code, the last in the end code."""
+    clear = first - 2
     runs, codes, table = [], [], {}
-    room, free = FULL - 1, first
+    put, get = codes.append, table.get
+    last, room = first - 1, FULL - first - 1
     w = data[0] if data else None
-    put = codes.append
     for b in data[1:]:
-        k = w << 8 | b
-        if k in table:
-            w = table[k]
-        else:
-            put(w)
-            w = b
-            if free < room:
-                table[k] = free
-                free += 1
-            else:  # clear before the table is full
-                runs.append(codes + [clear])
-                codes, free = [], first
-                table.clear()
-                put = codes.append
-    runs.append(codes + ([w] if w is not None else []) + [end])
-    width = bits + 1
-    at = 0
-    total = width + sum(int(_layout(first, len(r))[0][-1]) for r in runs)
-    whole = np.zeros((total + 7) // 8 + 3)
-    for run in ([clear], *runs):
-        offset, _ = _layout(first, len(run))
-        place = at + offset[:-1]
-        value = np.array(run, np.int64) << (place & 7)
-        for i in range(3):
-            whole += np.bincount((place >> 3) + i, value >> 8 * i & 255, len(whole))
-        at += int(offset[-1])
-    return whole[: (total + 7) // 8].astype(np.uint8).tobytes()
+        k = w, b
+        if (c := get(k)) is not None:
+            w = c
+            continue
+        put(w)
+        w = b
+        table[k] = last + len(codes)
+        if len(codes) > room:  # clear before the table is full
+            runs.append(codes + [clear])
+            codes = []
+            put = codes.append
+            table.clear()
+    if w is not None:
+        put(w)
+    put(clear + 1)
+    return [*runs, codes]
+
+
+def lzw_encode(frames: list[bytes], bits: int = 8) -> list[bytes]:
+    """A stream of each; the codes of all are packed together."""
+    clear, first, width = 1 << bits, (1 << bits) + 2, bits + 1
+    by_frame = [_runs(x, first) for x in frames]
+    runs = [r for x in by_frame for r in x]
+    n = np.fromiter(map(len, by_frame), np.int64, len(by_frame))
+    sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+    offset, _ = _layout(first, int(sizes.max()))
+    length = offset[sizes]
+    lead = np.cumsum(n) - n
+    total = (width + np.add.reduceat(length, lead) + 7) // 8
+    start = np.cumsum(total) - total
+    before = np.cumsum(length) - length
+    base = before - np.repeat(before[lead], n) + np.repeat(8 * start + width, n)
+    codes = np.fromiter(chain.from_iterable(runs), np.int64, int(sizes.sum()))
+    index = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    place = offset[index] + np.repeat(base, sizes)
+    value, byte = codes << (place & 7), place >> 3
+    whole = sum(np.bincount(byte + i, value >> 8 * i & 255, int(total.sum()) + 3) for i in range(3))
+    whole[start] += clear & 255
+    whole[start + 1] += clear >> 8
+    packed = whole.astype(np.uint8).tobytes()
+    return [packed[s:e] for s, e in zip(start.tolist(), (start + total).tolist(), strict=True)]
 
 
 def lzw_decode(stream: bytes, bits: int, n: int) -> bytes:
     """n samples; what the stream lacks is 0."""
     clear, end, first = 1 << bits, (1 << bits) + 1, (1 << bits) + 2
     raw = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.int64)
-    known = _ROOTS[:clear] + [b"", b""]
     out: list[bytes] = []
     at, limit, done = 0, 8 * len(stream), 0
     while at < limit and done < n:
@@ -109,18 +124,18 @@ def lzw_decode(stream: bytes, bits: int, n: int) -> bytes:
         stops = np.flatnonzero((codes == clear) | (codes == end))
         stop = int(stops[0]) if len(stops) else len(codes)
         if stop:
-            table, own = known.copy(), codes[:stop].tolist()
-            last = table[own[0]]
-            run, grow = [last], table.append
-            for c in own[1 : FULL - first + 1]:
+            # the table's entry c is what code c - first gave, and the first sample of what came next
+            run: list[bytes] = []
+            add = run.append
+            for c in codes[:stop].tolist():
+                if c < clear:
+                    add(_ROOTS[c])
+                    continue
+                entry = run[c - first]
                 try:
-                    entry = table[c]
+                    add(entry + run[c - first + 1][:1])
                 except IndexError:
-                    entry = last + last[:1]
-                grow(last + entry[:1])
-                run.append(entry)
-                last = entry
-            run += [table[c] for c in own[FULL - first + 1 :]]  # the table is full
+                    add(entry + entry[:1])
             out += run
             done += sum(map(len, run))
         if stop == len(codes) or codes[stop] == end:
@@ -138,8 +153,8 @@ def encode(frames: list[bytes], width: int, height: int, delay_cs: int = 4) -> b
     parts = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), _GREY, b"\x21\xff\x0bNETSCAPE2.0\x03\x01\0\0\0"]
     control = b"\x21\xf9\x04" + struct.pack("<BHBB", 1 << 2, delay_cs, 0, 0)
     image = b"\x2c" + struct.pack("<HHHHB", 0, 0, width, height, 0) + b"\x08"
-    for x in frames:
-        parts += [control, image, _blocks(lzw_encode(x))]
+    for x in lzw_encode(frames):
+        parts += [control, image, _blocks(x)]
     return b"".join([*parts, b"\x3b"])
 
 
