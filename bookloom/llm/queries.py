@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, gam, gif, mixing, pii, pivots, secrets, simhash
+from . import chat, gam, gif, mixing, packing, pii, pivots, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,7 @@ QUERIES: dict[str, Query] = {
     "op5_pivot_dedup": _over("embeddings", pivots.near_duplicates),
     "op6_quality_gam": lambda spark, d: gam.quality_digests(*(spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))),
     "op7_pii_spans": _over("documents", pii.span_digests),
+    "op8_best_fit_pack": _over("documents", packing.pack_documents),
     "op9_simhash_dedup": _over("documents", simhash.group_digests),
     "op10_gif_media": _over("documents", gif.media_digests),
 }
