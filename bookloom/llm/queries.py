@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, gam, gif, mixing, packing, pii, pivots, secrets, simhash
+from . import chat, gam, gif, mixing, packing, pii, pivots, secrets, simhash, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def _over(table: str, run: Callable[[DataFrame], DataFrame]) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": _over("documents", secrets.scan_digests),
+    "op2_suffix_dedup": _over("documents", suffix_dedup.cut_digests),
     "op3_chat_format": _over("conversations", chat.format_digests),
     "op4_source_mix": _over("documents", mixing.mix_digests),
     "op5_pivot_dedup": _over("embeddings", pivots.near_duplicates),
