@@ -11,6 +11,12 @@ cell's size; a cell over CELL members is dealt out as pairs of chunks, each with
 
 Defined results: null and empty texts, and texts without words, have fingerprint zero, which links like
 any other; repeated rows keep a row each; an empty table gives an empty result; other columns are ignored.
+
+near_groups() and keep_one() serve similarities that need more bits than blocks of a fingerprint can
+spare: 0.8 of five-word shingles moves about every seventh bit. There a document has WIDE times 64 bits.
+Its DECIDED most decided bits (by counts farthest from half) stay with its near copies, so documents meet
+in the cells of pairs of them; in a cell the Manhattan distance of the 64-bit segments' bit counts is the
+lower bound that is looked at first, and Hamming distance within the bits that the similarity allows decides.
 """
 
 from __future__ import annotations
@@ -30,14 +36,30 @@ from .storage import materialize
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Members of a cell that one task holds at once.
 CELL = 20_000
+#: Words of 64 bits of a wide fingerprint, and bits whose pairs are its cells.
+WIDE, DECIDED = 8, 8
 _LOW = 0x5555555555555555
 _STEP = 1 << 16
 
 
-def bit_counts(text: str | None, words: int = SHINGLE) -> tuple[np.ndarray, int]:
-    """For each of 64 bits, the shingles whose hash has it, and the number of shingles."""
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+
+_EIGHT = np.arange(0, 2048, 256, dtype=np.uint16)
+
+
+def _mixed(h: np.ndarray, j: int) -> np.ndarray:
+    """The j-th further hash of each hash; the first is the hash itself."""
+    if not j:
+        return h
+    h = (h + np.uint64(0x9E3779B97F4A7C15 * j % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
+def bit_counts(text: str | None, words: int = SHINGLE, wide: int = 1) -> tuple[np.ndarray, int]:
+    """For each of 64 * wide bits, the shingles whose hash has it, and the number of shingles."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII only, both
-    counts = np.zeros(64, np.int64)
+    counts = np.zeros(64 * wide, np.int64)
     if not w:
         return counts, 0
     line = b" ".join(w)
@@ -48,7 +70,10 @@ def bit_counts(text: str | None, words: int = SHINGLE) -> tuple[np.ndarray, int]
     digest = xxhash.xxh64_intdigest
     for i in range(0, n, _STEP):
         h = np.array([digest(line[s:e], SEED) for s, e in zip(starts[i : min(n, i + _STEP)].tolist(), last[i : i + _STEP].tolist(), strict=True)], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        for j in range(wide):
+            # counts of byte values at each of eight places, then of their bits
+            place = _mixed(h, j).view(np.uint8).reshape(-1, 8) + _EIGHT
+            counts[64 * j : 64 * j + 64] += (np.bincount(place.ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
     return counts, n
 
 
@@ -90,62 +115,77 @@ def cells(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return fps.select("fp", e.alias("e")).select("fp", F.explode(every).alias("k")).select("fp", "k.grid", "k.cell")
 
 
-def _spread(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that join what links within radius join: each member once, to a member that reached it."""
-    out, rest = [], fps
+def _near(rows: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
+    """Which rows (of words) are within so many bits of one; bit counts of words bound the distance from below."""
+    if rows.shape[1] == 1:
+        return np.bitwise_count(rows[:, 0] ^ at[0]) <= bits
+    out = np.abs(np.bitwise_count(rows).astype(np.int16) - np.bitwise_count(at)).sum(1) <= bits
+    out[out] = np.bitwise_count(rows[out] ^ at).sum(1, dtype=np.int64) <= bits
+    return out
+
+
+def _spread(fps: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links, as places, that join what links within so many bits join: each member once, to one that reached it."""
+    out, rest = [], np.arange(len(fps))
     while len(rest) > 1:
-        reached, rest = [rest[0]], rest[1:]
+        reached, rest = [int(rest[0])], rest[1:]
         while reached and len(rest):
             at = reached.pop()
-            near = np.bitwise_count(rest ^ at) <= radius
+            near = _near(fps[rest], fps[at], bits)
             if near.any():
                 new = rest[near]
                 out.append((np.full(len(new), at), new))
-                reached += list(new)
+                reached += new.tolist()
                 rest = rest[~near]
     return out
 
 
-def _links(keys: list[np.ndarray], fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows sorted by keys; links within each key's rows."""
+def _links(keys: list[np.ndarray], fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted by keys; links, as places, within each key's rows."""
     change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
     starts = np.concatenate([[0], change])
     sizes = np.diff(np.concatenate([starts, [len(fps)]]))
     two = starts[sizes == 2]
-    near = np.bitwise_count(fps[two] ^ fps[two + 1]) <= radius
-    found = [(fps[two[near]], fps[two[near] + 1])]
+    two = two[np.bitwise_count(fps[two] ^ fps[two + 1]).sum(1, dtype=np.int64) <= bits]
+    found = [(two, two + 1)]
     for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-        found += _spread(fps[s : s + n], radius)
+        found += [(a + s, b + s) for a, b in _spread(fps[s : s + n], bits)]
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """fps: distinct fingerprints. a, b: links that join exactly what links within radius join."""
-    rows = cells(fps, radius)
+def _words_of(column: pa.Array) -> np.ndarray:
+    """Fingerprints as rows of 64-bit words, from longs or from binaries of one length."""
+    if pa.types.is_integer(column.type):
+        return column.to_numpy(zero_copy_only=False).view(np.uint64)[:, None]
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), -1)
+
+
+def cell_links(rows: DataFrame, bits: int) -> DataFrame:
+    """rows: id (long), fp, grid, cell. a, b: ids, links that join exactly what links of rows of a cell join."""
     hot = rows.groupBy("grid", "cell").count().where(F.col("count") > CELL)
     hot = materialize(hot.select("grid", "cell", F.ceil(F.col("count") / CELL).cast("int").alias("chunks")), "cells")
     if hot.isEmpty():
         rows = rows.withColumns({"i": F.lit(0), "j": F.lit(0)})
     else:
-        own = F.pmod(F.xxhash64("fp"), F.coalesce("chunks", F.lit(1))).cast("int")
-        rows = rows.join(hot, ["grid", "cell"], "left").withColumn("own", own)
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
-        rows = rows.select("fp", "grid", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        chunks = F.coalesce("chunks", F.lit(1))
+        rows = rows.join(hot, ["grid", "cell"], "left").withColumn("own", F.pmod(F.xxhash64("id"), chunks).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        rows = rows.select("id", "fp", "grid", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
         def flush(cols: list[np.ndarray]):
-            a, b = _links(cols[1:], cols[0].view(np.uint64), radius)
+            ids, fps, *keys = cols
+            a, b = _links(keys, fps, bits)
             for s in range(0, len(a), _STEP):
-                yield pa.record_batch([pa.array(a[s : s + _STEP].view(np.int64)), pa.array(b[s : s + _STEP].view(np.int64))], names=["a", "b"])
+                yield pa.record_batch([pa.array(ids[a[s : s + _STEP]]), pa.array(ids[b[s : s + _STEP]])], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            last = [c[-1] for c in held[-1][1:]]
-            same = np.all([k == x for k, x in zip(held[-1][1:], last, strict=True)], axis=0)
+            held.append([c.to_numpy(zero_copy_only=False) if k != 1 else _words_of(c) for k, c in enumerate(batch.columns)])
+            same = np.all([k == k[-1] for k in held[-1][2:]], axis=0)
             cut = len(same) - (len(same) if same.all() else int(np.argmin(same[::-1])))
             if cut:  # keep the last key's rows for the next batch
                 whole = [np.concatenate(c) for c in zip(*held[:-1], [c[:cut] for c in held[-1]], strict=True)]
@@ -154,10 +194,15 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         if held:
             yield from flush([np.concatenate(c) for c in zip(*held, strict=True)])
 
-    dealt = rows.repartition("grid", "cell", "i", "j").sortWithinPartitions("grid", "cell", "i", "j")
+    dealt = rows.select("id", "fp", "grid", "cell", "i", "j").repartition("grid", "cell", "i", "j").sortWithinPartitions("grid", "cell", "i", "j")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fps: distinct fingerprints. a, b: links that join exactly what links within radius join."""
+    return cell_links(cells(fps, radius).withColumn("id", F.col("fp")), radius)
+
+
 def groups(documents: DataFrame, words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that links reach."""
     fp = materialize(fingerprints(documents, words), "fingerprints")
@@ -172,3 +217,58 @@ def groups(documents: DataFrame, words: int = SHINGLE, radius: int = RADIUS) ->
 
 def group_digests(documents: DataFrame) -> DataFrame:
     return groups(documents).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def allowed_bits(similarity: float, wide: int = WIDE) -> int:
+    """Differing bits that are expected at a Jaccard similarity of the shingles, for texts of like length.
+
+    One standard deviation is added, so that most pairs at the similarity itself are within.
+    """
+    n, share = 64 * wide, np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return round(n * share + np.sqrt(n * share * (1 - share)))
+
+
+def sketches(documents: DataFrame, words: int = 5) -> DataFrame:
+    """doc_id, fp (WIDE words, as binary), h (a digest of fp) and cells: pairs of the most decided bits."""
+    pairs = np.array(list(combinations(range(DECIDED), 2)))
+
+    def sketch(text: str | None) -> tuple[bytes, list[int]]:
+        counts, n = bit_counts(text, words, WIDE)
+        off = 2 * counts - n
+        top = np.sort(np.argsort(-np.abs(off), kind="stable")[:DECIDED])
+        signed = 2 * top + (off[top] > 0)
+        fp = np.packbits(off > 0, bitorder="little").tobytes()
+        return fp, (signed[pairs[:, 0]] << 20 | signed[pairs[:, 1]]).tolist()
+
+    def run(batches):
+        for b in batches:
+            got = [sketch(t.as_py()) for t in b.column(1)]
+            h = [xxhash.xxh64_intdigest(f) for f, _ in got]
+            yield pa.record_batch([
+                b.column(0), pa.array([f for f, _ in got], pa.binary()), pa.array(np.array(h, np.uint64).view(np.int64)), pa.array([c for _, c in got], pa.list_(pa.int64())),
+            ], names=["doc_id", "fp", "h", "cells"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp binary, h long, cells array<long>")
+
+
+def near_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, h, component_id: documents joined by links of that similarity or more; component_id is the smallest."""
+    made = materialize(sketches(documents, words), "sketches")
+    distinct = made.groupBy("h").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("cells").alias("cells"))
+    distinct = materialize(distinct, "classes")
+    rows = distinct.select(F.col("h").alias("id"), "fp", F.lit(0).cast("short").alias("grid"), F.explode("cells").alias("cell"))
+    root = components(cell_links(rows, allowed_bits(similarity)))
+    classes = materialize(distinct.join(root, F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("root", "h").alias("root")), "roots")
+    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = materialize(classes.join(least, "root").select(F.col("h").alias("of"), "component_id"), "named")
+    return made.select("doc_id", "h").join(named, F.col("h") == F.col("of")).select("doc_id", "h", "component_id")
+
+
+def keep_one(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """documents, with all their columns: of each group of near copies the one of the smallest id, once."""
+    chosen = near_groups(documents, words, similarity).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    chosen = chosen.groupBy("doc_id").agg(F.count("*").alias("_times")).withColumnRenamed("doc_id", "_id").hint("shuffle_hash")
+    kept = documents.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")))
+    once = kept.where("_times = 1").select(*documents.columns)
+    return once.unionByName(kept.where("_times > 1").select(*documents.columns).dropDuplicates(["doc_id", "text"]))

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import xxhash
 from bookloom.llm import simhash
+from pyspark.sql import functions as F
 
 
 def brute_fp(text):
@@ -85,5 +86,39 @@ def test_groups_of_odd_rows(odd_documents, no_documents):
 
 
 def test_spread_joins_chains():
-    x = np.array([0, 15, 255, 1 << 60], np.uint64)
-    assert {tuple(map(int, p)) for a, b in simhash._spread(x, 4) for p in zip(a, b, strict=True)} == {(0, 15), (15, 255), (0, 1 << 60)}
+    x = np.array([0, 15, 255, 1 << 60], np.uint64)[:, None]
+    assert {tuple(map(int, p)) for a, b in simhash._spread(x, 4) for p in zip(a, b, strict=True)} == {(0, 1), (1, 2), (0, 3)}
+    wide = np.repeat(x, 8, 1)
+    assert {tuple(map(int, p)) for a, b in simhash._spread(wide, 8) for p in zip(a, b, strict=True)} == {(0, 3)}
+
+
+def jaccard(a, b, k=5):
+    sets = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for i in rng.sample(range(len(words)), n):
+        words[i] = f"w{rng.random()}"
+    return words
+
+
+def test_near_copies_of_five_word_shingles(spark):
+    rng = random.Random(11)
+    base = [[f"w{rng.randrange(3000)}" for _ in range(300)] for _ in range(60)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    rows += [(100 + i, " ".join(edited(rng, w, 2))) for i, w in enumerate(base[:30])]  # about 0.94
+    rows += [(200 + i, " ".join(edited(rng, w, 25))) for i, w in enumerate(base[30:])]  # about 0.5
+    rows += [(300, rows[0][1].upper()), (301, ""), (302, None), (300, rows[0][1].upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit(1))
+    kept = sorted(r.doc_id for r in simhash.keep_one(df).collect())
+    assert min(jaccard(rows[i][1], rows[60 + i][1]) for i in range(30)) > 0.85
+    assert kept == [*range(60), *range(200, 230), 301]
+    assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_keep_one_takes_odd_rows(odd_documents):
+    out = simhash.keep_one(odd_documents)
+    assert out.columns == odd_documents.columns
+    assert sorted(r.doc_id for r in out.collect()) == [0, 3, 4, 6, 7, 8]
