@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -367,8 +368,10 @@ def removed_runs(size: int, cuts: list[bytes]) -> np.ndarray:
 
 def _tidy(spark) -> None:
     """Let go of shuffle files whose results are written: the driver deletes them once their plans are collected."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # one round frees plans, the next the shuffles that only they held
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def find_cuts(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
