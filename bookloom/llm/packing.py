@@ -16,6 +16,7 @@ import random
 import re
 import zlib
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,33 +36,44 @@ _TOKEN = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-z0-9ß-
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 
 
-class _Words(dict):
-    """Of a word: its number in the table of ids."""
+class _Words:
+    """Ids of words seen before; new words of a text go through the tokenizer together."""
 
     def __init__(self, tokenizer):
-        super().__init__()
         self.tokenizer = tokenizer
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for w, k in vocabulary.items() if w.endswith("</w>")]] = True
         self.start()
 
     def start(self):
-        self.clear()
-        self.ids: list[list[int]] = []
-        self.done = 0
-        self.flat, self.at, self.n = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def __missing__(self, word):
-        self.ids.append(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        self[word] = k = len(self.ids) - 1
-        return k
-
-    def gather(self, numbers: np.ndarray) -> np.ndarray:
-        if self.done < len(self.ids):
-            new = self.ids[self.done :]
-            n = np.fromiter(map(len, new), np.int64, len(new))
-            self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(n) - n])
-            self.n = np.concatenate([self.n, n])
-            self.flat = np.concatenate([self.flat, np.array([x for ids in new for x in ids], np.uint32)])
-            self.done = len(self.ids)
+        self.number: dict[str, int] = {}
+        # of each word: where its ids begin and how many they are; all ids; arrays grow by doubling
+        self.at, self.n, self.flat = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 16, np.uint32)
+        self.used = 0
+
+    def learn(self, words: list[str]) -> None:
+        """Each word is one of the tokenizer's own, so its ids end where a token ends a word."""
+        (found,) = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.array(found.ids, np.uint32)
+        last = np.flatnonzero(self.ends[ids]) + 1
+        k, m = len(self.number), self.used
+        while k + len(words) > len(self.at):
+            self.at, self.n = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.n))
+        while m + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        first = np.concatenate([[0], last[:-1]])
+        self.at[k : k + len(words)], self.n[k : k + len(words)] = m + first, last - first
+        self.flat[m : m + len(ids)] = ids
+        self.used += len(ids)
+        self.number.update(zip(words, range(k, k + len(words)), strict=True))
+
+    def ids(self, words: list[str]) -> np.ndarray:
+        numbers = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(numbers < 0).tolist()
+        if new:
+            self.learn(list(dict.fromkeys(words[i] for i in new)))
+            numbers[new] = [self.number[words[i]] for i in new]
         n = self.n[numbers]
         ends = np.cumsum(n)
         place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.at[numbers] - (ends - n), n)
@@ -79,10 +91,9 @@ def token_ids(text: str | None, path: str) -> np.ndarray:
     """The tokenizer's ids, made word by word where that is the same, and the end id."""
     words, text = _words(path), text or ""
     if _PLAIN.fullmatch(text) and not ("<|" in text and _SPECIAL.search(text)):
-        if len(words) > WORDS:
+        if len(words.number) > WORDS:
             words.start()
-        found = _TOKEN.findall(text.lower())
-        ids = words.gather(np.fromiter(map(words.__getitem__, found), np.int64, len(found)))
+        ids = words.ids(_TOKEN.findall(text.lower()))
     else:
         ids = np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
     return np.append(ids, np.uint32(END))
