@@ -16,7 +16,7 @@ def sequence_report(raw: DataFrame) -> DataFrame:
     step = F.col("msg_seq") - F.lag("msg_seq").over(w)
     tie = F.col("ts_recv_ns") == F.lag("ts_recv_ns").over(w)
     rows = raw.select("conn_id", "msg_seq", step.alias("step"), tie.alias("tie"))
-    per = rows.groupBy("conn_id").agg(F.count("*").alias("messages"), F.count_if("step < 0").alias("regressions"), F.count_if("step > 1").alias("gaps"), F.count_if("tie").alias("ties"))
+    per = rows.groupBy("conn_id").agg(F.count("*").alias("messages"), F.count_if(F.col("step") < 0).alias("regressions"), F.count_if(F.col("step") > 1).alias("gaps"), F.count_if("tie").alias("ties"))
     twice = raw.groupBy("conn_id", "msg_seq").agg((F.count("*") - 1).alias("n")).groupBy("conn_id").agg(F.sum("n").alias("duplicates"))
     return per.join(twice, "conn_id")
 
