@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from bookloom.functions.bookhash import book_hash
+from bookloom.sources.schemas import BOOK_METADATA
+
 BLOCK = 64
 KEY = ["session_id", "asset_id", "epoch"]
 ORDER = ["seq", "event_index", "change_index"]
@@ -38,9 +41,11 @@ def level_events(events: DataFrame, levels: DataFrame) -> DataFrame:
     events: as of number_events(). levels: session_id, asset_id, seq, event_index, side, price, size.
     """
     at = ["session_id", "asset_id", "seq", "event_index"]
-    set_by_book = events.where("is_book").select(*KEY, "seq", "event_index", "n").join(levels, at).select(*KEY, "n", "side", "price", "size", F.lit(True).alias("is_book"))
+    texts = [c for c in ("price_text", "size_text") if c in levels.columns and c in events.columns]
+    books = events.where("is_book").select("session_id", "asset_id", "epoch", "seq", "event_index", "n")
+    set_by_book = books.join(levels, at).select(*KEY, "n", "side", "price", "size", *texts, F.lit(True).alias("is_book"))
     usable = (F.col("epoch") > 0) & ~F.col("is_book") & F.col("code").isNull() & F.col("parse_code").isNull()
-    set_by_entry = events.where(usable).select(*KEY, "n", "side", "price", "size", F.lit(False).alias("is_book"))
+    set_by_entry = events.where(usable).select(*KEY, "n", "side", "price", "size", *texts, F.lit(False).alias("is_book"))
     price = W.partitionBy(*KEY, "side", "price").orderBy("n")
     return set_by_book.unionByName(set_by_entry).select(
         "*",
@@ -50,8 +55,8 @@ def level_events(events: DataFrame, levels: DataFrame) -> DataFrame:
     )
 
 
-def alive_at(points: DataFrame, levels: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, side, price, size of the levels that are on the book at points (KEY, n and keep).
+def alive_at(points: DataFrame, levels: DataFrame, keep: list[str], more: list[str] = []) -> DataFrame:  # noqa: B006
+    """keep, side, price, size and more of the levels that are on the book at points (KEY, n and keep).
 
     Levels of size 0 that a book set are on it; an entry of size 0 takes its level off.
     """
@@ -60,10 +65,10 @@ def alive_at(points: DataFrame, levels: DataFrame, keep: list[str]) -> DataFrame
     end = F.least(F.coalesce("next_n", F.col("last_n") + 1), F.col("last_n") + 1)
     held = held.withColumn("end_n", end).where("end_n > n")
     block = lambda n: F.floor(n / BLOCK).cast("int")
-    held = held.select(*KEY, "side", "price", "size", F.col("n").alias("from_n"), "end_n", F.explode(F.sequence(block(F.col("n")), block(F.col("end_n") - 1))).alias("block"))
+    held = held.select(*KEY, "side", "price", "size", *more, F.col("n").alias("from_n"), "end_n", F.explode(F.sequence(block(F.col("n")), block(F.col("end_n") - 1))).alias("block"))
     at = points.select(*KEY, "n", *(c for c in keep if c not in KEY and c != "n"), block(F.col("n")).alias("block"))
     met = at.join(held, [*KEY, "block"]).where("n >= from_n AND n < end_n")
-    return met.select(*keep, "side", "price", "size")
+    return met.select(*keep, "side", "price", "size", *more)
 
 
 def best_prices(points: DataFrame, levels: DataFrame) -> DataFrame:
@@ -149,3 +154,22 @@ def versions(books: DataFrame, fates: DataFrame) -> DataFrame:
     a = fates.where("status = 'applied'").select("session_id", "asset_id", *ORDER)
     w = W.partitionBy("asset_id").orderBy(*ORDER)
     return b.unionByName(a).withColumn("version", F.row_number().over(w))
+
+
+def change_hashes(points: DataFrame, changed: DataFrame, books: DataFrame) -> DataFrame:
+    """KEY, n, computed: the digest after each applied entry; null where the book had not all metadata.
+
+    changed: level_events() of levels that hold price_text and size_text. books: KEY, market and the
+    metadata columns, already encoded. Bids fall, asks rise, levels of size 0 are left out. points: KEY, n, timestamp.
+    """
+    met = alive_at(points.select(*KEY, "n"), changed.where("size > 0"), [*KEY, "n"], ["price_text", "size_text"])
+    level = F.struct("price", F.col("price_text"), F.col("size_text"))
+    side = lambda s: F.array_sort(F.array_compact(F.collect_list(F.when(F.col("side") == s, level))))
+    shown = met.groupBy(*KEY, "n").agg(F.reverse(side("BUY")).alias("bids"), side("SELL").alias("asks"))
+    named = lambda c: F.transform(F.coalesce(c, F.array().cast("array<struct<price:decimal(38,18),price_text:string,size_text:string>>")), lambda x: F.struct(x["price_text"].alias("price"), x["size_text"].alias("size")))
+    rows = points.join(shown, [*KEY, "n"], "left").join(books, KEY)
+    ready = F.lit(True)
+    for x in BOOK_METADATA:
+        ready = ready & F.col(x).isNotNull()
+    digest = book_hash(F.col("market"), F.col("asset_id"), F.col("timestamp"), named(F.col("bids")), named(F.col("asks")), {x: F.col(x) for x in BOOK_METADATA})
+    return rows.select(*KEY, "n", F.when(ready, digest).alias("computed"))
