@@ -76,10 +76,11 @@ def fingerprint(json: Column) -> Column:
     lists = sorted({p.split("[]")[0] for x in LAYOUTS for p in x.paths if "[]" in p})
     known = F.array(*(F.lit(p) for p in sorted({p for x in LAYOUTS for p in x.paths})))
     keys = lambda part: F.coalesce(F.json_object_keys(part), F.array().cast("array<string>"))
-    paths = F.concat(
-        keys(json),
-        *(F.transform(keys(F.get_json_object(json, f"$.{x}[0]")), lambda k, x=x: F.concat(F.lit(f"{x}[]."), k)) for x in lists),
-    )
+
+    def below(name: str) -> Column:
+        return F.transform(keys(F.get_json_object(json, f"$.{name}[0]")), lambda k: F.concat(F.lit(f"{name}[]."), k))
+
+    paths = F.concat(keys(json), *map(below, lists))
     return F.substring(F.sha2(F.array_join(F.array_sort(F.array_intersect(paths, known)), "\n"), 256), 1, 16)
 
 
