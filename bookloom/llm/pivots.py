@@ -154,7 +154,7 @@ def links(embeddings: DataFrame, threshold: float = THRESHOLD, nearest: int = NE
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept: a row per vector."""
     rows, classes = links(embeddings, threshold)
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = materialize(classes.groupBy("root").agg(F.min("least").alias("component_id")), "least")  # so that large groups can be split below
     named = classes.join(least, "root").select(F.col("h").alias("of"), (F.col("n") + F.col("copies") - 1).alias("n"), "component_id")
     out = rows.join(named, F.col("h") == F.col("of"), "left")
     component = F.coalesce("component_id", "vec_id")

@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, gam, gif, mixing, packing, pii, pivots, secrets, simhash, suffix_dedup
+from .storage import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def _over(table: str, run: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: run(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    return lambda spark, sf_dir: run(_table(spark, sf_dir, table))
 
 
 QUERIES: dict[str, Query] = {
@@ -21,7 +26,7 @@ QUERIES: dict[str, Query] = {
     "op3_chat_format": _over("conversations", chat.format_digests),
     "op4_source_mix": _over("documents", mixing.mix_digests),
     "op5_pivot_dedup": _over("embeddings", pivots.near_duplicates),
-    "op6_quality_gam": lambda spark, d: gam.quality_digests(*(spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))),
+    "op6_quality_gam": lambda spark, d: gam.quality_digests(_table(spark, d, "documents"), _table(spark, d, "labels")),
     "op7_pii_spans": _over("documents", pii.span_digests),
     "op8_best_fit_pack": _over("documents", packing.pack_documents),
     "op9_simhash_dedup": _over("documents", simhash.group_digests),

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .spans import digest_text, find_spans
+from .storage import materialize
 
 _ASSIGN = (
     "([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]"
@@ -122,7 +123,8 @@ def findings(versions: DataFrame, ledger: DataFrame, rules=RULES) -> DataFrame:
             lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].isin(base).alias("base")),
         ).alias("spans"),
     )
-    return versions.select("path", "blob").join(by_blob, "blob", "left")
+    # written first: a blob that many paths hold can then be split in the join
+    return versions.select("path", "blob").join(materialize(by_blob, "findings"), "blob", "left")
 
 
 def scan_digests(documents: DataFrame) -> DataFrame:

@@ -210,7 +210,7 @@ def groups(documents: DataFrame, words: int = SHINGLE, radius: int = RADIUS) ->
     root = components(links(distinct.select("fp"), radius))
     classes = distinct.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     classes = materialize(classes, "roots")
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = materialize(classes.groupBy("root").agg(F.min("least").alias("component_id")), "least")  # so that large groups can be split below
     named = materialize(classes.join(least, "root").select(F.col("fp").alias("of"), "component_id"), "named")
     return fp.join(named, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
 
@@ -260,7 +260,7 @@ def near_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8) -
     rows = distinct.select(F.col("h").alias("id"), "fp", F.lit(0).cast("short").alias("grid"), F.explode("cells").alias("cell"))
     root = components(cell_links(rows, allowed_bits(similarity)))
     classes = materialize(distinct.join(root, F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("root", "h").alias("root")), "roots")
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = materialize(classes.groupBy("root").agg(F.min("least").alias("component_id")), "least")  # so that large groups can be split below
     named = materialize(classes.join(least, "root").select(F.col("h").alias("of"), "component_id"), "named")
     return made.select("doc_id", "h").join(named, F.col("h") == F.col("of")).select("doc_id", "h", "component_id")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +15,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{(spark.conf.get('spark.checkpoint.dir', None) or LOCAL_DIR).rstrip('/')}/bookloom"
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Lets Python workers find this package where it is not installed: they get the driver's path to it.
+
+    Clusters whose executors don't see that path install the package or pass it with --py-files.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, (root, env.get("PYTHONPATH"))))
+    return spark
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again."""
     spark = df.sparkSession

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from bookloom.llm import gam, mixing, packing, pii, simhash
-from bookloom.llm.storage import materialize
+from bookloom.llm.storage import materialize, ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), "stage")
     return docs
