@@ -106,11 +106,11 @@ def take(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFram
     """
     chosen = (
         mix(documents, weights).where(F.col("taken") > 0)
-        .groupBy("doc_id").agg(F.max("times").alias("_times")).withColumnRenamed("doc_id", "_id")
+        .groupBy("doc_id").agg(F.max("times").alias("__bl_times")).withColumnRenamed("doc_id", "__bl_id")
     )
-    joined = documents.join(chosen.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    copies = F.explode(F.sequence(F.lit(1), F.col("_times")))
-    return joined.where(words(F.col("text")) > 0).select(*documents.columns, copies.alias("_copy")).drop("_copy")
+    joined = documents.join(chosen.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__bl_id")))
+    copies = F.explode(F.sequence(F.lit(1), F.col("__bl_times")))
+    return joined.where(words(F.col("text")) > 0).select(*documents.columns, copies.alias("__bl_copy")).drop("__bl_copy")
 
 
 def mix_digests(documents: DataFrame) -> DataFrame:

@@ -202,7 +202,7 @@ def redact(documents: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     learned = learn(documents.select(proposals(text).alias("proposals")))
     spans = F.array_sort(F.transform(decided(proposals(text), learned), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["kind"].alias("kind"))))
-    out = documents.withColumn("_spans", spans)
+    out = documents.withColumn("__bl_spans", spans)
 
     def step(a: Column, s: Column) -> Column:
         end = F.greatest(a["at"], s["end"])
@@ -211,8 +211,8 @@ def redact(documents: DataFrame) -> DataFrame:
         return F.struct(end.alias("at"), F.concat(a["out"], piece).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    new = F.aggregate("_spans", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    out = out.withColumn("text", F.when(F.size("_spans") > 0, new).otherwise(F.col("text"))).drop("_spans")
+    new = F.aggregate("__bl_spans", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    out = out.withColumn("text", F.when(F.size("__bl_spans") > 0, new).otherwise(F.col("text"))).drop("__bl_spans")
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull() | F.col("text").isNotNull(), F.length("text").cast(documents.schema["n_chars"].dataType)))
     return out.select(*documents.columns)

@@ -268,7 +268,7 @@ def near_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8) -
 def keep_one(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """documents, with all their columns: of each group of near copies the one of the smallest id, once."""
     chosen = near_groups(documents, words, similarity).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = chosen.groupBy("doc_id").agg(F.count("*").alias("_times")).withColumnRenamed("doc_id", "_id").hint("shuffle_hash")
-    kept = documents.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")))
-    once = kept.where("_times = 1").select(*documents.columns)
-    return once.unionByName(kept.where("_times > 1").select(*documents.columns).dropDuplicates(["doc_id", "text"]))
+    chosen = chosen.groupBy("doc_id").agg(F.count("*").alias("__bl_times")).withColumnRenamed("doc_id", "__bl_id").hint("shuffle_hash")
+    kept = documents.join(chosen, F.col("doc_id").eqNullSafe(F.col("__bl_id")))
+    once = kept.where("__bl_times = 1").select(*documents.columns)
+    return once.unionByName(kept.where("__bl_times > 1").select(*documents.columns).dropDuplicates(["doc_id", "text"]))
