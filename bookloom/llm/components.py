@@ -14,8 +14,9 @@ from .storage import discard, materialize
 
 
 def _lowest(pairs: DataFrame) -> DataFrame:
-    """u, low: the least of u and its neighbours; pairs: u, v."""
-    return pairs.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("hub"), F.least("u", "low").alias("low"))
+    """hub, low: the least of a node and its neighbours; pairs: u, v. Written, so that a hub's links can be split in the join."""
+    low = pairs.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("hub"), F.least("u", "low").alias("low"))
+    return materialize(low, "lowest")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         nxt = _small_star(_large_star(held).where("u != v").distinct()).where("u != v").distinct()
         done = materialize(nxt, "stars")
-        discard(held)
+        discard(held)  # the small tables of lowest neighbours stay until the folder is cleared
         held = done
         row = held.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if row == mark:
