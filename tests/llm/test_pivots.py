@@ -41,3 +41,22 @@ def test_odd_vectors(spark):
     assert got[:4] == [(0, 0, None, True), (1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False)]
     assert [g[1:] for g in got[4:]] == [(0, 3, True), (0, 4, True), (0, 5, True), (0, 6, True), (0, 7, True), (3, 1, False), (0, 9, True), (0, 9, True)]
     assert pivots.near_duplicates(df.limit(0)).count() == 0
+
+
+def dense(n, width=64, seed=7):
+    """A third of the rows in one cluster with cosines about 0.92."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, width))
+    x[: n // 3] = rng.normal(size=width) + x[: n // 3] * 0.295
+    return x.astype(np.float32)
+
+
+def test_recall_in_a_dense_group(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "PER_ROOT", 8.0)  # 512 pivots, as a table of 100,000 rows and more has
+    x = dense(4000)
+    n, root = brute(x.astype(float))
+    df = spark.createDataFrame([(i, v.tolist(), 0, 0, 0, "x") for i, v in enumerate(x)], SCHEMA)
+    got = {r.vec_id: r for r in pivots.near_duplicates(df).collect()}
+    assert sum(r.n_links for r in got.values()) >= 0.99 * n.sum()
+    assert all(got[i].n_links <= n[i] for i in range(len(x)))
+    assert np.mean([got[i].component_id == root[i] for i in range(len(x))]) > 0.99
