@@ -13,10 +13,11 @@ Defined results: null and empty texts, and texts without words, have fingerprint
 any other; repeated rows keep a row each; an empty table gives an empty result; other columns are ignored.
 
 near_groups() and keep_one() serve similarities that need more bits than blocks of a fingerprint can
-spare: 0.8 of five-word shingles moves about every seventh bit. There a document has WIDE times 64 bits.
-Its DECIDED most decided bits (by counts farthest from half) stay with its near copies, so documents meet
-in the cells of pairs of them; in a cell the Manhattan distance of the 64-bit segments' bit counts is the
-lower bound that is looked at first, and Hamming distance within the bits that the similarity allows decides.
+spare: 0.8 of five-word shingles moves about every seventh bit. There a document has WIDE times 64 bits, of
+its distinct shingles. Its DECIDED most decided bits (by counts farthest from half) stay with its near copies,
+so documents meet in the cells of pairs of them; in a cell the Manhattan distance of the 64-bit segments' bit
+counts is the lower bound that is looked at first, then Hamming distance. That only names candidates: within
+what they join, a link is decided by the Jaccard similarity of the sets of shingles (as 64-bit hashes).
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 CELL = 20_000
 #: Words of 64 bits of a wide fingerprint, and bits whose pairs are its cells.
 WIDE, DECIDED = 8, 8
+#: Members, and bytes of their shingles, of a group of candidates that one task holds at once, twice.
+GROUP, GROUP_BYTES = 2048, 8 << 20
 _LOW = 0x5555555555555555
 _STEP = 1 << 16
 
@@ -219,50 +222,127 @@ def group_digests(documents: DataFrame) -> DataFrame:
     return groups(documents).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def allowed_bits(similarity: float, wide: int = WIDE) -> int:
-    """Differing bits that are expected at a Jaccard similarity of the shingles, for texts of like length.
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """Hashes of the distinct shingles, ascending."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII only, both
+    line = b" ".join(w)
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    last = ends[min(words, len(w)) - 1 :]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(line[s:e], SEED) for s, e in zip(starts.tolist(), last.tolist(), strict=False)] if w else [], np.uint64))
+
 
-    One standard deviation is added, so that most pairs at the similarity itself are within.
-    """
+def set_counts(hashes: np.ndarray, wide: int = WIDE) -> np.ndarray:
+    """For each of 64 * wide bits, the hashes that have it."""
+    counts = np.zeros(64 * wide, np.int64)
+    for i in range(0, len(hashes), _STEP):
+        for j in range(wide):
+            place = _mixed(hashes[i : i + _STEP], j).view(np.uint8).reshape(-1, 8) + _EIGHT
+            counts[64 * j : 64 * j + 64] += (np.bincount(place.ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
+    return counts
+
+
+def allowed_bits(similarity: float, wide: int = WIDE) -> int:
+    """Differing bits up to which documents are candidates: what is expected at a Jaccard similarity of the
+    shingles, and six standard deviations, since sets of a few shingles differ in more bits than others."""
     n, share = 64 * wide, np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return round(n * share + np.sqrt(n * share * (1 - share)))
+    return round(n * share + 6 * np.sqrt(n * share * (1 - share)))
+
+
+def named(hashes: np.ndarray) -> int:
+    """A signed 64-bit digest of a set of shingles."""
+    return xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
 def sketches(documents: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, fp (WIDE words, as binary), h (a digest of fp) and cells: pairs of the most decided bits."""
+    """doc_id, fp (WIDE words, as binary), h (a digest of the shingles), size (of them) and cells: pairs of the most decided bits."""
     pairs = np.array(list(combinations(range(DECIDED), 2)))
 
-    def sketch(text: str | None) -> tuple[bytes, list[int]]:
-        counts, n = bit_counts(text, words, WIDE)
-        off = 2 * counts - n
+    def sketch(text: str | None) -> tuple[bytes, int, int, list[int]]:
+        hashes = shingles(text, words)
+        off = 2 * set_counts(hashes) - len(hashes)
         top = np.sort(np.argsort(-np.abs(off), kind="stable")[:DECIDED])
         signed = 2 * top + (off[top] > 0)
         fp = np.packbits(off > 0, bitorder="little").tobytes()
-        return fp, (signed[pairs[:, 0]] << 20 | signed[pairs[:, 1]]).tolist()
+        return fp, named(hashes), len(hashes), (signed[pairs[:, 0]] << 20 | signed[pairs[:, 1]]).tolist()
 
     def run(batches):
         for b in batches:
-            got = [sketch(t.as_py()) for t in b.column(1)]
-            h = [xxhash.xxh64_intdigest(f) for f, _ in got]
-            yield pa.record_batch([
-                b.column(0), pa.array([f for f, _ in got], pa.binary()), pa.array(np.array(h, np.uint64).view(np.int64)), pa.array([c for _, c in got], pa.list_(pa.int64())),
-            ], names=["doc_id", "fp", "h", "cells"])
+            fp, h, size, cells = zip(*(sketch(t.as_py()) for t in b.column(1)), strict=True) if b.num_rows else ([],) * 4
+            yield pa.record_batch([b.column(0), pa.array(fp, pa.binary()), pa.array(h, pa.int64()), pa.array(size, pa.int64()), pa.array(cells, pa.list_(pa.int64()))], names=["doc_id", "fp", "h", "size", "cells"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp binary, h long, cells array<long>")
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp binary, h long, size long, cells array<long>")
+
+
+def _similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links, as places, that join what links of that Jaccard similarity or more join: each member once."""
+    sizes = np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    parts = np.split(ids, np.cumsum(sizes)[:-1])
+    flag = np.zeros(int(ids.max(initial=-1)) + 1, bool)
+    a, b, rest = [], [], np.arange(len(sets))
+    while len(rest) > 1:
+        reached, rest = [int(rest[0])], rest[1:]
+        while reached and len(rest):
+            at = reached.pop()
+            n = sizes[rest]
+            may = np.flatnonzero((np.minimum(n, sizes[at]) / np.maximum(np.maximum(n, sizes[at]), 1) >= similarity) & (n > 0))
+            if not len(may):
+                continue
+            flag[parts[at]] = True
+            both = np.add.reduceat(flag[np.concatenate([parts[k] for k in rest[may]])], np.concatenate([[0], np.cumsum(n[may])[:-1]]), dtype=np.int64)
+            flag[parts[at]] = False
+            near = may[both / (n[may] + sizes[at] - both) >= similarity]
+            a += [at] * len(near)
+            b += rest[near].tolist()
+            reached += rest[near].tolist()
+            rest = np.delete(rest, near)
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def verified(documents: DataFrame, members: DataFrame, words: int, similarity: float) -> DataFrame:
+    """members: h, size, least (a document that has the set) and root, the group of candidates. a, b: links by Jaccard
+    similarity of the shingles, that join what all such links within a group join."""
+    chunks = F.ceil(F.greatest(F.count("*") / GROUP, F.sum("size") * 8 / GROUP_BYTES)).cast("int")
+    groups = materialize(members.groupBy("root").agg(chunks.alias("chunks")), "groups")
+    m = materialize(members.join(groups, "root").select(F.col("h").alias("__bl_h"), F.col("least").alias("__bl_id"), F.col("root").alias("__bl_root"), F.col("chunks").alias("__bl_chunks")), "members")
+    texts = documents.select("doc_id", "text").join(m.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__bl_id")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t.as_py(), words) for t in b.column(0)]
+            keep = pa.array([named(x) == h.as_py() for x, h in zip(sets, b.column(1), strict=True)], pa.bool_())  # an id may have several texts
+            yield pa.record_batch([b.column(1), b.column(2), b.column(3), pa.array([x.tobytes() for x in sets], pa.binary())], names=["h", "root", "chunks", "set"]).filter(keep)
+
+    held = texts.select("text", "__bl_h", "__bl_root", "__bl_chunks").mapInArrow(run, "h long, root long, chunks int, set binary")
+    held = held.withColumn("own", F.pmod(F.xxhash64("h"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    held = held.select("h", "set", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def links_of(table: pa.Table) -> pa.Table:
+        h, first = np.unique(table.column("h").to_numpy(), return_index=True)
+        column = table.column("set")
+        a, b = _similar([np.frombuffer(column[int(k)].as_py(), np.uint64) for k in first], similarity)
+        return pa.table({"a": h[a], "b": h[b]})
+
+    return held.groupBy("root", "i", "j").applyInArrow(links_of, "a long, b long")
 
 
 def near_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, h, component_id: documents joined by links of that similarity or more; component_id is the smallest."""
     made = materialize(sketches(documents, words), "sketches")
-    distinct = made.groupBy("h").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("cells").alias("cells"))
+    distinct = made.groupBy("h").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("cells").alias("cells"))
     distinct = materialize(distinct, "classes")
     rows = distinct.select(F.col("h").alias("id"), "fp", F.lit(0).cast("short").alias("grid"), F.explode("cells").alias("cell"))
-    root = components(cell_links(rows, allowed_bits(similarity)))
+    candidates = materialize(components(cell_links(rows, allowed_bits(similarity))), "candidates")
+    both = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root")).distinct()
+    members = distinct.join(both, F.col("h") == F.col("node")).select("h", "size", "least", "root")
+    root = components(verified(documents, members, words, similarity))
     classes = materialize(distinct.join(root, F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("root", "h").alias("root")), "roots")
     least = materialize(classes.groupBy("root").agg(F.min("least").alias("component_id")), "least")  # so that large groups can be split below
-    named = materialize(classes.join(least, "root").select(F.col("h").alias("of"), "component_id"), "named")
-    return made.select("doc_id", "h").join(named, F.col("h") == F.col("of")).select("doc_id", "h", "component_id")
+    of = materialize(classes.join(least, "root").select(F.col("h").alias("of"), "component_id"), "named")
+    return made.select("doc_id", "h").join(of, F.col("h") == F.col("of")).select("doc_id", "h", "component_id")
 
 
 def keep_one(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

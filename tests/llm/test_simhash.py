@@ -122,3 +122,27 @@ def test_keep_one_takes_odd_rows(odd_documents):
     out = simhash.keep_one(odd_documents)
     assert out.columns == odd_documents.columns
     assert sorted(r.doc_id for r in out.collect()) == [0, 3, 4, 6, 7, 8]
+
+
+def test_links_are_decided_by_the_sets_of_shingles(spark):
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    line = [word() for _ in range(12)]
+    repeated = [(i, " ".join([word() for _ in range(200)] + line * 20)) for i in range(2)]
+    base = [word() for _ in range(304)]
+    rows, n = [*repeated, (10, " ".join(base))], 0
+    for k, start in enumerate(range(0, 280, 5)):  # a run of changed words: similarity about 0.76, then 0.82
+        for more in (36, 26):
+            n += 1
+            w = list(base)
+            for i in range(start, min(start + more, 304)):
+                w[i] = word()
+            rows.append((1000 + n, " ".join(w)))
+    want = {i: i for i, _ in rows}
+    for i, a in rows:
+        for j, b in rows:
+            if i < j and want[i] != want[j] and jaccard(a, b) >= 0.8:
+                old, new = max(want[i], want[j]), min(want[i], want[j])
+                want = {x: new if r == old else r for x, r in want.items()}
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and got[1] == 1 and len(set(want.values())) > 3
