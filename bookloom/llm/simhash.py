@@ -38,7 +38,7 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Members of a cell that one task holds at once.
 CELL = 20_000
 #: Words of 64 bits of a wide fingerprint, and bits whose pairs are its cells.
-WIDE, DECIDED = 8, 8
+WIDE, DECIDED = 8, 10
 #: Members, and bytes of their shingles, of a group of candidates that one task holds at once, twice.
 GROUP, GROUP_BYTES = 2048, 8 << 20
 _LOW = 0x5555555555555555

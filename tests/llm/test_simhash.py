@@ -146,3 +146,13 @@ def test_links_are_decided_by_the_sets_of_shingles(spark):
                 want = {x: new if r == old else r for x, r in want.items()}
     got = {r.doc_id: r.component_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want and got[1] == 1 and len(set(want.values())) > 3
+
+
+def test_short_near_copies_meet(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        w = [f"w{rng.random()}" for _ in range(10)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:-1]))]  # 6 and 5 shingles: similarity 0.83
+    got = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i in range(120)}
