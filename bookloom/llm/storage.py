@@ -1,18 +1,15 @@
-"""Tables in the folder that driver and executors share: lineage cuts that survive lost executors."""
+"""Tables in the shared folder, and workers that find this package."""
 
 from __future__ import annotations
 
-import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-#: Used only where the session names no spark.checkpoint.dir, as in local tests.
-LOCAL_DIR = "/tmp/checkpoints"
+from bookloom.sources.staging import discard, shared_dir
+from bookloom.sources.staging import staged as materialize
 
-
-def shared_dir(spark: SparkSession) -> str:
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or LOCAL_DIR).rstrip('/')}/bookloom"
+__all__ = ["discard", "materialize", "shared_dir", "ship"]
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -25,22 +22,3 @@ def ship(spark: SparkSession) -> SparkSession:
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, (root, env.get("PYTHONPATH"))))
     return spark
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._bookloom_path = path
-    return out
-
-
-def discard(*tables: DataFrame | None) -> None:
-    """Delete tables of materialize() that no later plan reads."""
-    for df in tables:
-        if df is not None and (path := getattr(df, "_bookloom_path", None)):
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
