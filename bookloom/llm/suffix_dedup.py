@@ -7,28 +7,32 @@ time:
 1. blocks: documents are gathered into compressed blocks of about BLOCK bytes, written once.
 2. anchors: of each window the least GRAM-byte string by hash is its anchor, so equal windows have equal
    anchors at equal places. Each block tells the anchors it has; those of two documents or more are shared.
-3. suffix buckets: a shared anchor's windows travel as one text, the anchor's context, to the bucket of
-   the anchor. Equal contexts of one block travel once, for the smallest id. A bucket sorts the suffixes
-   at all windows of its differing contexts, a slice of whole anchors at a time: suffixes at places
-   outside multiples of 3 (a difference cover of period 3) are ranked by doubling, and ties of the others
-   are resolved by the ranks of the next cover places. Neighbours that agree in WINDOW bytes form a class,
-   and every window of a class is removed but those of its smallest id.
-4. cuts go back to the blocks, where runs are merged.
-
-Memory is bounded by blocks, buckets and slices; only an anchor whose contexts all differ needs them in
-one task. Hashes choose what is compared; equality is always decided on bytes.
-
-Defined results: a null text is empty; texts below WINDOW bytes stay whole; documents of one id do not
-cut each other; null ids count as larger than all; repeated rows keep a row each; an empty table gives an
-empty result; other columns are ignored.
+3. contexts: a shared anchor's windows travel as one text of at most LONG bytes, the anchor's context, to the
+   bucket of the anchor. Equal contexts meet before they travel (in their block, then, where there are more than
+   FAN blocks, in groups of FAN): those of larger ids are settled there, so a passage that all blocks hold
+   reaches its bucket from few of them.
+4. suffix buckets: a bucket sorts the suffixes at all windows of its anchors' differing contexts, a slice of
+   whole anchors at a time. Ranks of the slice's cover sample (places outside multiples of 3, a difference cover
+   of period 3) are made first, by doubling up to WINDOW bytes; then suffixes of the other places are ordered by one
+   or two bytes and the rank of the cover place behind them, so no comparison ever runs through a long tie.
+   Neighbours that agree in WINDOW bytes form a class, and every window of a class is removed but those of its
+   smallest id.
+5. cuts go back to the blocks, where runs are merged.
+
+Contexts have fixed rows of bytes, so a bucket is a few arrays. Memory is bounded by blocks, buckets and slices;
+only an anchor whose contexts all differ needs them in one task. Hashes choose what is compared; equality is
+always decided on bytes.
+
+Defined results: a null text is empty; texts below WINDOW bytes stay whole; a text above BLOCK bytes is a block of
+its own and read in steps; documents of one id do not cut each other; null ids count as larger than all; repeated
+rows keep a row each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +45,12 @@ from .storage import discard, materialize
 
 WINDOW, GRAM = 50, 24
 #: Bytes of texts in a block, of texts for each bucket, of windows read at once, of contexts sorted at once.
-BLOCK, BUCKET, STEP, SLICE = 4 << 20, 16 << 20, 1 << 20, 1 << 20
+BLOCK, BUCKET, STEP, SLICE = 1 << 20, 8 << 20, 1 << 20, 1 << 20
+#: Blocks whose contexts meet in one group.
+FAN = 4096
+#: The most bytes that windows with one anchor cover, and those of a context's row.
+LONG = 2 * WINDOW - GRAM
+ROW = -(-LONG // 8) * 8
 _LAST = np.iinfo(np.int64).max
 _U = np.uint64
 
@@ -96,14 +105,15 @@ def anchors(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def window_classes(contexts: list[bytes], docs: np.ndarray) -> np.ndarray:
-    """For each window of each context in turn: the smallest id among contexts that have the window."""
-    sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
-    text = np.frombuffer(b"".join(contexts) + bytes(2 * WINDOW), np.uint8)
-    n = len(text) - 2 * WINDOW
-    windows = sizes - WINDOW + 1
-    owner = np.repeat(np.arange(len(sizes)), windows)
-    starts = np.arange(len(owner)) + np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(windows) - windows), windows)
+def window_classes(rows: np.ndarray, windows: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For each window of each context in turn: the smallest id among contexts that have the window.
+
+    rows: contexts of ROW bytes, filled with 0; windows: how many each has.
+    """
+    text = np.concatenate([rows.ravel(), np.zeros(2 * WINDOW, np.uint8)])
+    n = rows.size
+    owner = np.repeat(np.arange(len(rows)), windows)
+    starts = np.arange(len(owner)) + np.repeat(ROW * np.arange(len(rows)) - (np.cumsum(windows) - windows), windows)
     # ranks of the cover's suffixes, in 8, 14, 26, then 50 bytes
     words = text.astype(_U)
     for b in (1, 2, 4):
@@ -142,6 +152,120 @@ def window_classes(contexts: list[bytes], docs: np.ndarray) -> np.ndarray:
     return out
 
 
+class Contexts(NamedTuple):
+    """anchor, document, block, first window and number of windows of each context, and its bytes in a row."""
+
+    anchor: np.ndarray
+    doc: np.ndarray
+    block: np.ndarray
+    first: np.ndarray
+    n: np.ndarray
+    rows: np.ndarray
+
+    def take(self, i) -> Contexts:
+        return Contexts(*(x[i] for x in self))
+
+    def pack(self) -> bytes:
+        return _zip(*(np.ascontiguousarray(x.astype(k)).tobytes() for x, k in zip(self, _KINDS, strict=True)))
+
+
+_KINDS = ("<u8", "<i8", "<i8", "<i8", "u1", "u1")
+_MIX = np.random.default_rng(50).integers(1, 1 << 63, ROW // 8, np.uint64) | _U(1)
+
+
+def _unpack(bodies: list[bytes]) -> Contexts:
+    parts = list(zip(*map(_unzip, bodies), strict=True)) or [()] * len(_KINDS)
+    *cols, rows = (np.concatenate([np.zeros(0, k), *(np.frombuffer(x, k) for x in p)]) for p, k in zip(parts, _KINDS, strict=True))
+    cols[-1] = cols[-1].astype(np.int64)
+    return Contexts(*cols, rows.astype(np.uint8).reshape(-1, ROW))
+
+
+def _rows(raw: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The bytes of contexts."""
+    out = np.zeros((len(first), ROW), np.uint8)
+    place = np.arange(ROW)
+    for s in range(0, len(first), 1 << 14):
+        f, size = first[s : s + (1 << 14), None], n[s : s + (1 << 14), None] + WINDOW - 1
+        out[s : s + (1 << 14)] = np.where(place < size, raw[np.minimum(f + place, len(raw) - 1)], 0)
+    return out
+
+
+def _alike(c: Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order in which equal contexts are neighbours of rising ids, the number of each one's class, and the place in
+    that order where each class begins. Contexts are alike if their bytes are; digests only bring them together."""
+    words = np.ascontiguousarray(c.rows).view("<u8")
+    digest = (words * _MIX).sum(1, dtype=_U) ^ c.anchor
+    order = np.lexsort([c.doc, digest])
+    a = words[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (a[1:] != a[:-1]).any(1) | (c.n[order[1:]] != c.n[order[:-1]]) | (c.anchor[order[1:]] != c.anchor[order[:-1]])
+    return order, np.cumsum(new) - 1, np.flatnonzero(new)
+
+
+def _settle(c: Contexts) -> tuple[Contexts, Contexts]:
+    """Contexts of their class's smallest id, and the others: all their windows are removed."""
+    order, number, lead = _alike(c)
+    more = c.doc[order] > c.doc[order[lead]][number]
+    return c.take(np.sort(order[~more])), c.take(order[more])
+
+
+def _by(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value and the places that have it."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    edges = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]])) if len(k) else []
+    for s, e in zip(edges[:-1], edges[1:], strict=True):
+        yield int(k[s]), order[s:e]
+
+
+def _cut_rows(block: np.ndarray, first: np.ndarray, n: np.ndarray) -> list[tuple[int, bytes]]:
+    """block and cut of runs of removed windows."""
+    runs = np.stack([first, n], 1).astype("<i8")
+    return [(k, runs[i].tobytes()) for k, i in _by(block)]
+
+
+def _sorted_cuts(c: Contexts) -> list[tuple[int, bytes]]:
+    """Cuts of a bucket: by equal contexts, then by sorting the suffixes at windows of anchors with several."""
+    if not len(c.doc):
+        return []
+    order, number, lead = _alike(c)
+    least = c.doc[order[lead]]
+    more = c.doc[order] > least[number]
+    i = order[more]
+    block, first, n = [c.block[i]], [c.first[i]], [c.n[i]]
+    # the class's first context stands for it
+    one = order[lead]
+    by_anchor = np.argsort(c.anchor[one], kind="stable")
+    anchor = c.anchor[one][by_anchor]
+    edges = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1], [True]]))
+    several = np.flatnonzero(np.diff(edges) > 1)  # an anchor with one context alone has nothing to sort
+    # members of each class that are of its smallest id, in order of classes
+    kept = order[~more]
+    kept_at = np.searchsorted(number[~more], np.arange(len(lead) + 1))
+    sizes = np.diff(edges)[several] * ROW
+    slices = (np.cumsum(sizes) - sizes) // SLICE
+    for _, at in _by(slices):
+        group = np.concatenate([by_anchor[edges[k] : edges[k + 1]] for k in several[at].tolist()])
+        windows = c.n[one[group]]
+        smaller = window_classes(c.rows[one[group]], windows, least[group]) < np.repeat(least[group], windows)
+        # runs of removed windows, none over a context's end; then for every member
+        begin = np.cumsum(windows) - windows
+        owner = np.repeat(np.arange(len(group)), windows)
+        edge = np.ones(len(smaller) + 1, bool)
+        edge[1:-1] = (smaller[1:] != smaller[:-1]) | (owner[1:] != owner[:-1])
+        edge = np.flatnonzero(edge)
+        start = edge[:-1][smaller[edge[:-1]]]
+        length = np.diff(edge)[smaller[edge[:-1]]]
+        of = group[owner[start]]
+        many = kept_at[of + 1] - kept_at[of]
+        run = np.repeat(np.arange(len(start)), many)
+        member = kept[np.arange(len(run)) + np.repeat(kept_at[of] - (np.cumsum(many) - many), many)]
+        block.append(c.block[member])
+        first.append(c.first[member] + (start - begin[owner[start]])[run])
+        n.append(length[run])
+    return _cut_rows(*map(np.concatenate, (block, first, n)))
+
+
 def _pack48(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
@@ -250,109 +374,62 @@ def _shared_anchors(held: DataFrame, buckets: int) -> DataFrame:
     return told.groupBy("bucket").applyInArrow(meet, "block long, note binary")
 
 
+_SENT = "bucket int, block long, settled boolean, body binary"
+
+
+def _sent(rows: list[tuple[int, int, bool, bytes]]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.table({c: pa.array(x, t) for c, x, t in zip(("bucket", "block", "settled", "body"), cols, (pa.int32(), pa.int64(), pa.bool_(), pa.binary()), strict=True)})
+
+
+def _settled(rows: list[tuple[int, bytes]], buckets: int) -> list[tuple[int, int, bool, bytes]]:
+    """Cuts that are decided; they go through any bucket."""
+    return [(block % buckets, block, True, cut) for block, cut in rows]
+
+
 def _cuts(held: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
     """block, cut: runs of removed windows (first, number), by places in the block's texts."""
 
     def contexts(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        block = key[0].as_py()
-        out: list[tuple[int, bool, bytes]] = []
+        block, out = key[0].as_py(), []
+        notes = right.column("note").to_pylist()
+        shared_here = np.unique(np.concatenate([_unpack48(x) for x in notes])) if notes else np.zeros(0, _U)
         for data in left.column("data").to_pylist():
-            ids, _, ends, raw = _open(data)
-            h, first, n = anchors(np.frombuffer(raw, np.uint8), ends)
-            notes = right.column("note").to_pylist()
-            keep = np.isin(h, np.concatenate([_unpack48(x) for x in notes])) if notes else np.zeros(len(h), bool)
+            ids, _, ends, text = _open(data)
+            raw = np.frombuffer(text, np.uint8)
+            h, first, n = anchors(raw, ends)
+            keep = shared_here[np.searchsorted(shared_here, h).clip(max=len(shared_here) - 1)] == h if len(shared_here) else np.zeros(len(h), bool)
             h, first, n = h[keep], first[keep], n[keep]
+            if not len(h):
+                continue
             doc = ids[np.searchsorted(ends, first, side="right")]
-            order = np.lexsort([first, doc])
-            seen: dict[bytes, int] = {}
-            sent, local = [], []
-            for i, a, b, d in zip(order.tolist(), first[order].tolist(), (first + n)[order].tolist(), doc[order].tolist(), strict=True):
-                text = raw[a : b + WINDOW - 1]
-                if (least := seen.setdefault(text, d)) < d:
-                    local.append((a, b - a))
-                elif least == d:
-                    sent.append(i)
-            sent = np.array(sent, np.int64)
-            to = ((h[sent] >> _U(8)) % _U(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            edges = np.searchsorted(to[order], np.arange(buckets + 1))
-            for k, (s, e) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
-                if e > s:
-                    i = sent[order[s:e]]
-                    texts = b"".join([raw[a:b] for a, b in zip(first[i].tolist(), (first[i] + n[i] + WINDOW - 1).tolist(), strict=True)])
-                    out.append((k, False, _zip(h[i].tobytes(), doc[i].astype("<i8").tobytes(), first[i].astype("<i8").tobytes(), n[i].astype("<i8").tobytes(), texts)))
-            if local:  # settled here; goes through any bucket
-                out.append((block % buckets, True, np.array(local, "<i8").tobytes()))
-        cols = list(zip(*out, strict=True)) if out else [(), (), ()]
-        return pa.table({"bucket": pa.array(cols[0], pa.int32()), "block": pa.array([block] * len(out), pa.int64()), "settled": pa.array(cols[1], pa.bool_()), "body": pa.array(cols[2], pa.binary())})
+            sent, done = _settle(Contexts(h, doc, np.full(len(h), block), first, n, _rows(raw, first, n)))
+            to = ((sent.anchor >> _U(8)) % _U(buckets)).astype(np.int64)
+            out += [(k, block, False, sent.take(i).pack()) for k, i in _by(to)]
+            out += _settled(_cut_rows(done.block, done.first, done.n), buckets)
+        return _sent(out)
+
+    def merge(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        bucket, group = (x.as_py() for x in key)
+        rows = list(zip(*(t.column(c).to_pylist() for c in ("block", "settled", "body")), strict=True))
+        kept, done = _settle(_unpack([body for _, settled, body in rows if not settled]))
+        out = [(bucket, block, True, body) for block, settled, body in rows if settled]
+        out += [(bucket, group, False, kept.pack())] if len(kept.doc) else []
+        return _sent(out + _settled(_cut_rows(done.block, done.first, done.n), buckets))
 
     def sort_bucket(t: pa.Table) -> pa.Table:
-        to: list[int] = []
-        cuts: list[bytes] = []
-        cols: list[list[np.ndarray]] = [[], [], [], [], []]
-        texts: list[bytes] = []
-        for block, settled, body in zip(*(t.column(c).to_pylist() for c in ("block", "settled", "body")), strict=True):
-            if settled:
-                to.append(block)
-                cuts.append(body)
-                continue
-            *fixed, raw = _unzip(body)
-            h, doc, first, n = (np.frombuffer(x, d) for x, d in zip(fixed, ("<u8", "<i8", "<i8", "<i8"), strict=True))
-            for c, x in zip(cols, (h, doc, first, n, np.full(len(h), block)), strict=True):
-                c.append(x)
-            ends = np.cumsum(n + WINDOW - 1).tolist()
-            texts += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        if texts:
-            h, doc, first, n, block = map(np.concatenate, cols)
-            # equal contexts are one, of the smallest id
-            number: dict[bytes, int] = {}
-            same = np.array([number.setdefault(x, len(number)) for x in texts])
-            least = np.full(len(number), _LAST)
-            np.minimum.at(least, same, doc)
-            lead = np.zeros(len(number), np.int64)
-            lead[same] = np.arange(len(same))
-            different = list(number)
-            order = np.argsort(h[lead], kind="stable")
-            hs = h[lead][order]
-            edges = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1], [True]]))
-            limit: list[np.ndarray | None] = [None] * len(different)
-            group: list[int] = []
-            size = 0
-
-            def flush():
-                at = 0
-                least_of = window_classes([different[k] for k in group], least[group])
-                for k in group:
-                    limit[k] = least_of[at : at + len(different[k]) - WINDOW + 1]
-                    at += len(limit[k])
-
-            for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if e - s > 1:  # an anchor with one context alone has nothing to sort
-                    group += order[s:e].tolist()
-                    size += sum(len(different[k]) for k in order[s:e].tolist())
-                    if size >= SLICE:
-                        flush()
-                        group, size = [], 0
-            if group:
-                flush()
-            runs: dict[int, list[tuple[int, int]]] = {}
-            for k, d, a, m, b in zip(same.tolist(), doc.tolist(), first.tolist(), n.tolist(), block.tolist(), strict=True):
-                if limit[k] is None:
-                    if least[k] < d:
-                        runs.setdefault(b, []).append((a, m))
-                    continue
-                gone = limit[k] < d
-                if gone.all():
-                    runs.setdefault(b, []).append((a, m))
-                elif gone.any():
-                    turn = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
-                    runs.setdefault(b, []).extend((a + s, e - s) for s, e in turn.reshape(-1, 2).tolist())
-            for b, x in runs.items():
-                to.append(b)
-                cuts.append(np.array(x, "<i8").tobytes())
+        rows = list(zip(*(t.column(c).to_pylist() for c in ("block", "settled", "body")), strict=True))
+        out = [(block, body) for block, settled, body in rows if settled]
+        out += _sorted_cuts(_unpack([body for _, settled, body in rows if not settled]))
+        to, cuts = zip(*out, strict=True) if out else ((), ())
         return pa.table({"block": pa.array(to, pa.int64()), "cut": pa.array(cuts, pa.binary())})
 
-    sent = held.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(contexts, "bucket int, block long, settled boolean, body binary")
+    sent = held.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(contexts, _SENT)
+    groups = held.count()
+    while groups > FAN:
+        groups = -(-groups // FAN)
+        sent = sent.withColumn("group", F.when(F.col("settled"), F.lit(0)).otherwise(F.pmod(F.xxhash64("block"), F.lit(groups))).cast("long"))
+        sent = sent.groupBy("bucket", "group").applyInArrow(merge, _SENT)
     return sent.groupBy("bucket").applyInArrow(sort_bucket, "block long, cut binary")
 
 
@@ -366,24 +443,14 @@ def removed_runs(size: int, cuts: list[bytes]) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]))).reshape(-1, 2)
 
 
-def _tidy(spark) -> None:
-    """Let go of shuffle files whose results are written: the driver deletes them once their plans are collected."""
-    for _ in range(2):  # one round frees plans, the next the shuffles that only they held
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def find_cuts(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """blocks() of the documents, written, and their cuts."""
     held = materialize(blocks(documents), "blocks")
     size = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(8, -(-size // BUCKET))
     shared = materialize(_shared_anchors(held, buckets), "anchors")
-    _tidy(documents.sparkSession)
     cuts = materialize(_cuts(held, shared, buckets), "cuts")
     discard(shared)
-    _tidy(documents.sparkSession)
     return held, cuts
 
 

@@ -55,9 +55,10 @@ def run(spark, rows):
 
 
 def test_against_brute_force(spark, monkeypatch):
-    for seed, block, part in ((1, 4 << 20, 1 << 20), (2, 3000, 1 << 20), (3, 8000, 500)):
+    for seed, block, part, fan in ((1, 4 << 20, 1 << 20, 4096), (2, 3000, 1 << 20, 4096), (3, 8000, 500, 4096), (4, 1500, 2000, 3)):
         monkeypatch.setattr(sd, "BLOCK", block)
         monkeypatch.setattr(sd, "SLICE", part)
+        monkeypatch.setattr(sd, "FAN", fan)
         rows = corpus(seed)
         assert run(spark, rows) == sorted(brute(rows), key=str)
 
