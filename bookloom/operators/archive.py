@@ -96,8 +96,8 @@ def source_times(rows: DataFrame) -> DataFrame:
     keys = [F.count_distinct("source").alias("source_times"), (F.max(ms) - F.min(ms)).alias("span_ms")]
     if "ordinal" in rows.columns:
         before = F.lag("source").over(W.partitionBy(*GROUP).orderBy("ordinal"))
-        rows = rows.withColumn("_back", F.coalesce(F.col("source") < before, F.lit(False)))
-        keys.append(F.count_if("_back").alias("regressions"))
+        rows = rows.withColumn("__bl_back", F.coalesce(F.col("source") < before, F.lit(False)))
+        keys.append(F.count_if("__bl_back").alias("regressions"))
     return rows.groupBy(*GROUP).agg(*keys)
 
 
@@ -132,7 +132,7 @@ def recoveries(found: DataFrame) -> DataFrame:
     w = W.partitionBy("market", "asset_id").orderBy("received")
     back = F.first(F.when(F.col("state") == "VALID", F.col("received")), ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
     turn = (F.col("state") == "INVALID") & (F.lag("state").over(w) == "VALID")
-    rows = found.withColumn("_turn", turn).withColumn("recovered", back).where("_turn")
+    rows = found.withColumn("__bl_turn", turn).withColumn("recovered", back).where("__bl_turn")
     return rows.select("market", "asset_id", F.col("received").alias("lost"), "recovered", (F.unix_millis("recovered") - F.unix_millis("received")).alias("ms"))
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from bookloom.functions.exact import bounds_code, decimal_code, exact
 from bookloom.functions.wire import frame_metadata, has, leaf, member, text_of, wire_type
-from bookloom.sources.schemas import ENTRY_FIELDS, KNOWN_EVENT_TYPES, ORDERING_LEAVES
+from bookloom.sources.schemas import ENTRY_FIELDS, KNOWN_EVENT_TYPES, ORDERING_LEAVES, TIME
+
+from .ordered import last_before
 
 
 def record_counts(*kinds: tuple[str, DataFrame]) -> DataFrame:
@@ -21,7 +23,7 @@ def record_counts(*kinds: tuple[str, DataFrame]) -> DataFrame:
 
 
 def merge_streams(*streams: DataFrame) -> DataFrame:
-    """Record streams as one, in the order of their shared sequence; columns that one lacks are null."""
+    """Record streams as one, in the order of their shared sequence (a range sort); columns that one lacks are null."""
     out = streams[0]
     for s in streams[1:]:
         out = out.unionByName(s, allowMissingColumns=True)
@@ -40,20 +42,28 @@ def duplicate_count(frames: DataFrame) -> DataFrame:
     return per.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_frames"))
 
 
-def receive_order(frames: DataFrame, order: str, by: str | None = None) -> DataFrame:
+def receive_order(frames: DataFrame, order: list[str], ranges: list[str]) -> DataFrame:
     """Each frame with sequence_regressed and monotonic_regressed, in processing order.
 
-    One order over a whole run is one window; by (a collector session, say) splits it where runs are large.
+    A sequence that doesn't rise, and a clock reading below the last one there was. order and ranges: as of ordered.
     """
-    w = W.partitionBy(*([by] if by else [])).orderBy(order)
-    last_ns = F.last("received_monotonic_ns", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
-    return frames.select(
-        "*",
-        F.coalesce(F.col("ingest_sequence") <= F.lag("ingest_sequence").over(w), F.lit(False)).alias("sequence_regressed"),
-        F.coalesce(F.col("received_monotonic_ns") < last_ns, F.lit(False)).alias("monotonic_regressed"),
+    seen = last_before(frames, ranges, order, ["ingest_sequence", "received_monotonic_ns"])
+    return seen.select(
+        *frames.columns,
+        F.coalesce(F.col("ingest_sequence") <= F.col("ingest_sequence_before"), F.lit(False)).alias("sequence_regressed"),
+        F.coalesce(F.col("received_monotonic_ns") < F.col("received_monotonic_ns_before"), F.lit(False)).alias("monotonic_regressed"),
     )
 
 
+def receive_errors(ordered: DataFrame) -> DataFrame:
+    """ingest_sequence and code of frames that regressed; one may have both."""
+    both = F.array_compact(F.array(
+        F.when(F.col("sequence_regressed"), "websocket_ingest_sequence_regression"),
+        F.when(F.col("monotonic_regressed"), "websocket_monotonic_receive_regression"),
+    ))
+    return ordered.select("ingest_sequence", F.explode(both).alias("code"))
+
+
 def events(frames: DataFrame, keep: tuple[str, ...] = ("ingest_sequence",)) -> DataFrame:
     """event_index, event, event_type and code of each logical event of decoded frames; keep: columns of frames.
 
@@ -85,10 +95,19 @@ def metadata(frames: DataFrame) -> DataFrame:
 
 
 def unexpected_types(found: DataFrame) -> DataFrame:
-    """Events of no known type: they are errors, and still count."""
+    """Events of no known type: they are errors (unexpected_event_type), and still count."""
     return found.where(F.col("event_type").isNotNull() & ~F.col("event_type").isin(*KNOWN_EVENT_TYPES))
 
 
+def event_errors(found: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """keep, event_type and code of every event that is an error by its shape or type, and of changes that name no list,
+    market or time: one for each such event, whatever its entries."""
+    bad = found.where("code IS NOT NULL").select(*keep, "event_type", "code")
+    odd = unexpected_types(found).select(*keep, "event_type", F.lit("unexpected_event_type").alias("code"))
+    void = change_frames(found, keep).where("frame_code IS NOT NULL").select(*keep, F.lit("price_change").alias("event_type"), F.col("frame_code").alias("code"))
+    return bad.unionByName(odd).unionByName(void)
+
+
 def event_counts(found: DataFrame) -> DataFrame:
     return found.where("code IS NULL").groupBy("event_type").agg(F.count("*").alias("events"))
 
@@ -100,7 +119,7 @@ def errors(found: DataFrame, code: str = "code") -> DataFrame:
 
 def examples(rows: DataFrame, by: str, order: str, most: int) -> DataFrame:
     """The first rows of each group, in order."""
-    return rows.withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy(order))).where(F.col("_n") <= most).drop("_n")
+    return rows.withColumn("__bl_n", F.row_number().over(W.partitionBy(by).orderBy(order))).where(F.col("__bl_n") <= most).drop("__bl_n")
 
 
 def inventory(paths: DataFrame, key: str) -> DataFrame:
@@ -116,15 +135,33 @@ def ordering_fields(paths: DataFrame, key: str) -> DataFrame:
     return hits.groupBy("path").agg(F.count("*").alias("events"))
 
 
+def _changes():
+    """The entries of a price_change event; null if it has no list of them."""
+    listed = wire_type(member(F.col("event"), "$.price_changes")) == "array"
+    return F.when(listed, F.try_variant_get("event", "$.price_changes", "array<variant>"))
+
+
+def _whole():
+    return has(F.col("event"), "$.market") & has(F.col("event"), "$.timestamp")
+
+
+def change_frames(found: DataFrame, keep: tuple[str, ...] = ("ingest_sequence", "event_index")) -> DataFrame:
+    """A row per price_change event: frame_entries (null without a list) and frame_code, why none of them is used."""
+    rows = found.where("code IS NULL AND event_type = 'price_change'").select(*keep, F.size(_changes()).alias("n"), _whole().alias("whole"))
+    return rows.select(
+        *keep, F.when(F.col("n") >= 0, F.col("n")).alias("frame_entries"),
+        F.when(F.coalesce(F.col("n") < 0, F.lit(True)) | ~F.col("whole"), "missing_required_field").alias("frame_code"),
+    )
+
+
 def entries(found: DataFrame, keep: tuple[str, ...] = ("ingest_sequence", "event_index")) -> DataFrame:
     """A row per price-change entry of price_change events, with its checks.
 
-    code: missing_required_field (frame or entry), malformed_price_change, or null; parse_code: why price,
-    size or side cannot be used, size first. Missing and null best prices differ: has_bid, has_ask.
+    code: missing_required_field (frame or entry), malformed_price_change, or null; by_frame: the code is the frame's,
+    which change_frames() tells once; parse_code: why price, size or side cannot be used, size first. Missing and null
+    best prices differ: has_bid, has_ask.
     """
-    e = F.col("event")
-    changes = F.try_variant_get(e, "$.price_changes", "array<variant>")
-    whole = has(e, "$.market") & has(e, "$.timestamp")
+    changes, whole = _changes(), _whole()
     rows = found.where("code IS NULL AND event_type = 'price_change'").select(
         *keep, whole.alias("whole"), F.size(changes).alias("frame_entries"), F.posexplode(changes).alias("change_index", "c")
     )
@@ -140,7 +177,7 @@ def entries(found: DataFrame, keep: tuple[str, ...] = ("ingest_sequence", "event
     # texts and wire types are taken once; the checks below read columns
     names = ("price", "size", "best_bid", "best_ask")
     rows = rows.select(
-        *keep, "change_index", "frame_entries", code.alias("code"), *(text_of(c, f"$.{x}").alias(x) for x in ("asset_id", "side", "hash")),
+        *keep, "change_index", "frame_entries", code.alias("code"), (~F.col("whole")).alias("by_frame"), *(text_of(c, f"$.{x}").alias(x) for x in ("asset_id", "side", "hash")),
         *(text_of(c, f"$.{x}").alias(f"{x}_text") for x in names), *(wire_type(member(c, f"$.{x}")).alias(f"{x}_type") for x in names),
     )
     text, is_string = lambda x: F.col(f"{x}_text"), lambda x: F.col(f"{x}_type") == "string"
@@ -155,7 +192,7 @@ def entries(found: DataFrame, keep: tuple[str, ...] = ("ingest_sequence", "event
         return [there.alias(f"has_{x[5:]}"), F.when(there & ~blank, exact(text(x))).alias(x), F.when(there & ~blank, decimal_code(text(x), is_string(x))).alias(f"{x}_code")]
 
     return rows.select(
-        *keep, "change_index", "frame_entries", "code", "asset_id", "side", "price_text", "size_text", "price", "size",
+        *keep, "change_index", "frame_entries", "code", "by_frame", "asset_id", "side", "price_text", "size_text", "price", "size",
         F.when(F.col("code").isNull(), parse).alias("parse_code"), "hash", *best("best_bid"), *best("best_ask"),
     )
 
@@ -198,7 +235,7 @@ def books(found: DataFrame, keep: tuple[str, ...] = ("ingest_sequence", "event_i
     listed = (wire_type(member(e, "$.bids")) == "array") & (wire_type(member(e, "$.asks")) == "array")
     head = F.coalesce(
         F.when(absent | (asset == "") | (market == ""), "missing_required_field"),
-        decimal_code(text_of(e, "$.timestamp")),
+        decimal_code(text_of(e, "$.timestamp"), kind=TIME),
         F.when(~listed, "missing_required_field"),
     )
     rows = rows.select(*keep, asset.alias("asset_id"), market.alias("market"), text_of(e, "$.hash").alias("hash"), head.alias("head"))

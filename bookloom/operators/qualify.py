@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from bookloom.sources.schemas import DECIMAL
+
 
 def sequence_report(raw: DataFrame) -> DataFrame:
     """Per connection: messages, regressions, duplicates, time ties and gaps of msg_seq; gaps are told, not interpreted.
@@ -40,11 +42,11 @@ def reconciliation(normalized: DataFrame, depth: int) -> DataFrame:
 
 def traceability(normalized: DataFrame, raw: DataFrame, keys: list[str]) -> DataFrame:
     """side, matched, unmatched by exact keys alone; times are never matched nearly."""
-    found = raw.select(*keys).distinct().withColumn("_hit", F.lit(True))
-    back = normalized.select(*keys).distinct().withColumn("_hit", F.lit(True))
+    found = raw.select(*keys).distinct().withColumn("__bl_hit", F.lit(True))
+    back = normalized.select(*keys).distinct().withColumn("__bl_hit", F.lit(True))
 
     def side(name: str, left: DataFrame, right: DataFrame) -> DataFrame:
-        hit = F.col("_hit").isNotNull()
+        hit = F.col("__bl_hit").isNotNull()
         joined = left.join(right, keys, "left")
         return joined.agg(F.count_if(hit).alias("matched"), F.count_if(~hit).alias("unmatched")).select(F.lit(name).alias("side"), "matched", "unmatched")
 
@@ -65,6 +67,6 @@ def walk_depth(levels: DataFrame, wanted: float) -> DataFrame:
     asks for a buy.
     """
     before = F.coalesce(F.sum("size").over(W.partitionBy("asset_id").orderBy("price").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    take = F.greatest(F.least(F.col("size"), F.lit(wanted).cast("decimal(38,18)") - before), F.lit(0))
+    take = F.greatest(F.least(F.col("size"), F.lit(wanted).cast(DECIMAL) - before), F.lit(0))
     rows = levels.withColumn("take", take)
     return rows.groupBy("asset_id").agg(F.sum("take").alias("filled"), F.sum(F.col("take") * F.col("price")).alias("notional"), (F.sum("take") >= wanted).alias("complete"))

@@ -6,7 +6,8 @@ derived and compared, and the first bad entry of an epoch cuts it.
 
 The best prices at an entry are the extremes of the levels alive there. A level is alive from the event
 that set it to the next event at its price; that range join runs by blocks of BLOCK positions within an
-epoch, so an entry meets the levels alive in its block, not all levels of the epoch.
+epoch, so an entry meets the levels alive in its block, not all levels of the epoch. Of levels that live all
+through a block only the extremes count: one row a side and block stands for them, however deep the book is.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bookloom.functions.bookhash import book_hash
-from bookloom.sources.schemas import BOOK_METADATA
+from bookloom.functions.bookhash import book_hash, encoded, quoted
+from bookloom.sources.schemas import BOOK_METADATA, DECIMAL
 
 BLOCK = 64
 KEY = ["session_id", "asset_id", "epoch"]
@@ -55,30 +56,42 @@ def level_events(events: DataFrame, levels: DataFrame) -> DataFrame:
     )
 
 
-def alive_at(points: DataFrame, levels: DataFrame, keep: list[str], more: list[str] = []) -> DataFrame:  # noqa: B006
-    """keep, side, price, size and more of the levels that are on the book at points (KEY, n and keep).
+def _block(n: Column) -> Column:
+    return F.floor(n / BLOCK).cast("int")
 
-    Levels of size 0 that a book set are on it; an entry of size 0 takes its level off.
-    """
+
+def _by_block(points: DataFrame, levels: DataFrame, more: list[str]) -> DataFrame:
+    """KEY, side, price, more, from_n, end_n, block and last_n: levels that are on the book, in every block up to the last point."""
     last = points.groupBy(*KEY).agg(F.max("n").alias("last_n"))
     held = levels.where("is_book OR size > 0").join(last, KEY)
     end = F.least(F.coalesce("next_n", F.col("last_n") + 1), F.col("last_n") + 1)
     held = held.withColumn("end_n", end).where("end_n > n")
-    block = lambda n: F.floor(n / BLOCK).cast("int")
-    held = held.select(*KEY, "side", "price", "size", *more, F.col("n").alias("from_n"), "end_n", F.explode(F.sequence(block(F.col("n")), block(F.col("end_n") - 1))).alias("block"))
-    at = points.select(*KEY, "n", *(c for c in keep if c not in KEY and c != "n"), block(F.col("n")).alias("block"))
+    return held.select(*KEY, "side", "price", *more, F.col("n").alias("from_n"), "end_n", "last_n", F.explode(F.sequence(_block(F.col("n")), _block(F.col("end_n") - 1))).alias("block"))
+
+
+def alive_at(points: DataFrame, levels: DataFrame, keep: list[str], more: list[str] = []) -> DataFrame:  # noqa: B006
+    """keep, side, price, size and more of the levels that are on the book at points (KEY, n and keep).
+
+    Levels of size 0 that a book set are on it; an entry of size 0 takes its level off.
+    """
+    held = _by_block(points, levels, ["size", *more])
+    at = points.select(*KEY, "n", *(c for c in keep if c not in KEY and c != "n"), _block(F.col("n")).alias("block"))
     met = at.join(held, [*KEY, "block"]).where("n >= from_n AND n < end_n")
     return met.select(*keep, "side", "price", "size", *more)
 
 
 def best_prices(points: DataFrame, levels: DataFrame) -> DataFrame:
     """KEY, n, derived_bid, derived_ask: null where a side has no level with size."""
-    met = alive_at(points, levels.where("size > 0"), [*KEY, "n"])
-    found = met.groupBy(*KEY, "n").agg(
-        F.max(F.when(F.col("side") == "BUY", F.col("price"))).alias("derived_bid"),
-        F.min(F.when(F.col("side") == "SELL", F.col("price"))).alias("derived_ask"),
-    )
-    return points.select(*KEY, "n").join(found, [*KEY, "n"], "left")
+    held = _by_block(points, levels.where("size > 0"), [])
+    bid, ask = (F.when(F.col("side") == s, F.col("price")) for s in ("BUY", "SELL"))
+    through = (F.col("from_n") <= F.col("block") * BLOCK) & (F.col("end_n") >= F.least((F.col("block") + 1) * BLOCK, F.col("last_n") + 1))
+    whole = held.where(through).groupBy(*KEY, "block").agg(F.max(bid).alias("whole_bid"), F.min(ask).alias("whole_ask"))
+    at = points.select(*KEY, "n", _block(F.col("n")).alias("block"))
+    part = held.where(~through).select(*KEY, "block", "from_n", "end_n", bid.alias("part_bid"), ask.alias("part_ask"))
+    met = at.join(part, [*KEY, "block"]).where("n >= from_n AND n < end_n")
+    found = met.groupBy(*KEY, "n").agg(F.max("part_bid").alias("part_bid"), F.min("part_ask").alias("part_ask"))
+    out = at.join(whole, [*KEY, "block"], "left").join(found, [*KEY, "n"], "left")
+    return out.select(*KEY, "n", F.greatest("whole_bid", "part_bid").alias("derived_bid"), F.least("whole_ask", "part_ask").alias("derived_ask"))
 
 
 def _outcome(name: str, empty: int) -> Column:
@@ -156,20 +169,44 @@ def versions(books: DataFrame, fates: DataFrame) -> DataFrame:
     return b.unionByName(a).withColumn("version", F.row_number().over(w))
 
 
+def hash_books(found: DataFrame, events: DataFrame) -> DataFrame:
+    """KEY, market and the metadata columns, as JSON, of the book that opens each epoch.
+
+    found: events with session_id, seq, event_index; events: as of number_events().
+    """
+    e = F.col("event")
+    meta = encoded(e, BOOK_METADATA)
+    said = found.where("code IS NULL AND event_type = 'book'").select("session_id", "seq", "event_index", quoted(F.try_variant_get(e, "$.market", "string")).alias("market"), *(v.alias(k) for k, v in meta.items()))
+    return events.where("is_book").select(*KEY, "seq", "event_index").join(said, ["session_id", "seq", "event_index"]).select(*KEY, "market", *BOOK_METADATA)
+
+
+def hash_points(found: DataFrame, fates: DataFrame) -> DataFrame:
+    """KEY, ORDER, n, timestamp (as JSON) and observed hash of applied entries."""
+    stamp = encoded(F.col("event"), ("timestamp",))["timestamp"]
+    said = found.where("code IS NULL AND event_type = 'price_change'").select("session_id", "seq", "event_index", stamp.alias("timestamp"))
+    applied = fates.where("status = 'applied'").select(*KEY, *ORDER, "n", F.col("hash").alias("observed"))
+    return applied.join(said, ["session_id", "seq", "event_index"])
+
+
 def change_hashes(points: DataFrame, changed: DataFrame, books: DataFrame) -> DataFrame:
-    """KEY, n, computed: the digest after each applied entry; null where the book had not all metadata.
+    """points (as of hash_points()) with computed: the digest after each entry; null where the book had not all metadata.
 
-    changed: level_events() of levels that hold price_text and size_text. books: KEY, market and the
-    metadata columns, already encoded. Bids fall, asks rise, levels of size 0 are left out. points: KEY, n, timestamp.
+    changed: level_events() of levels that hold price_text and size_text. books: as of hash_books(). Bids fall, asks
+    rise, levels of size 0 are left out. A digest is of the whole book, so all its levels meet in a row for it.
     """
     met = alive_at(points.select(*KEY, "n"), changed.where("size > 0"), [*KEY, "n"], ["price_text", "size_text"])
     level = F.struct("price", F.col("price_text"), F.col("size_text"))
     side = lambda s: F.array_sort(F.array_compact(F.collect_list(F.when(F.col("side") == s, level))))
     shown = met.groupBy(*KEY, "n").agg(F.reverse(side("BUY")).alias("bids"), side("SELL").alias("asks"))
-    named = lambda c: F.transform(F.coalesce(c, F.array().cast("array<struct<price:decimal(38,18),price_text:string,size_text:string>>")), lambda x: F.struct(x["price_text"].alias("price"), x["size_text"].alias("size")))
+    kind = f"array<struct<price:{DECIMAL},price_text:string,size_text:string>>"
+    named = lambda c: F.transform(F.coalesce(c, F.array().cast(kind)), lambda x: F.struct(x["price_text"].alias("price"), x["size_text"].alias("size")))
     rows = points.join(shown, [*KEY, "n"], "left").join(books, KEY)
-    ready = F.lit(True)
-    for x in BOOK_METADATA:
-        ready = ready & F.col(x).isNotNull()
-    digest = book_hash(F.col("market"), F.col("asset_id"), F.col("timestamp"), named(F.col("bids")), named(F.col("asks")), {x: F.col(x) for x in BOOK_METADATA})
-    return rows.select(*KEY, "n", F.when(ready, digest).alias("computed"))
+    digest = book_hash(F.col("market"), quoted(F.col("asset_id")), F.col("timestamp"), named(F.col("bids")), named(F.col("asks")), {x: F.col(x) for x in BOOK_METADATA})
+    return rows.select(*points.columns, digest.alias("computed"))
+
+
+def hash_counters(checked: DataFrame) -> DataFrame:
+    """shape, attempts, matches, mismatches, skipped; checked: shape, observed, computed (null: skipped)."""
+    tried = F.col("computed").isNotNull()
+    good = F.coalesce(F.col("observed") == F.col("computed"), F.lit(False))
+    return checked.groupBy("shape").agg(F.count_if(tried).alias("attempts"), F.count_if(tried & good).alias("matches"), F.count_if(tried & ~good).alias("mismatches"), F.count_if(~tried).alias("skipped"))

@@ -14,12 +14,12 @@ from .replay import KEY, ORDER, alive_at
 def as_of(left: DataFrame, right: DataFrame, by: list[str], order: str, values: list[str]) -> DataFrame:
     """left with the values of the last right row at or before it, by key: a union and a running last value."""
     packed = F.struct(*values)
-    both = left.withColumns({"_v": F.lit(None).cast(right.select(packed).schema[0].dataType), "_left": F.lit(1)}).unionByName(
-        right.select(*by, order, packed.alias("_v"), F.lit(0).alias("_left")), allowMissingColumns=True
+    both = left.withColumns({"__bl_v": F.lit(None).cast(right.select(packed).schema[0].dataType), "__bl_left": F.lit(1)}).unionByName(
+        right.select(*by, order, packed.alias("__bl_v"), F.lit(0).alias("__bl_left")), allowMissingColumns=True
     )
-    w = W.partitionBy(*by).orderBy(order, "_left").rowsBetween(W.unboundedPreceding, 0)
-    last = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_left = 1")
-    return last.select(*left.columns, *(F.col(f"_v.{v}").alias(v) for v in values))
+    w = W.partitionBy(*by).orderBy(order, "__bl_left").rowsBetween(W.unboundedPreceding, 0)
+    last = both.withColumn("__bl_v", F.last("__bl_v", ignorenulls=True).over(w)).where("__bl_left = 1")
+    return last.select(*left.columns, *(F.col(f"__bl_v.{v}").alias(v) for v in values))
 
 
 def statuses(rest: DataFrame) -> DataFrame:
@@ -27,6 +27,22 @@ def statuses(rest: DataFrame) -> DataFrame:
     return rest.groupBy(F.coalesce("status_code", F.lit(0)).alias("status_code")).agg(F.count("*").alias("requests"))
 
 
+def targeted_requests(found: DataFrame, subscribed: DataFrame) -> DataFrame:
+    """candidates() as the reads to ask for; code targeted_rest_request_rejected: the token isn't in the subscription.
+
+    subscribed: token. What is asked for stays within what the run subscribed to.
+    """
+    known = subscribed.select(F.col("token").alias("__bl_token")).distinct()
+    rows = found.join(known, F.col("asset_id") == F.col("__bl_token"), "left")
+    code = F.when(F.col("__bl_token").isNull(), "targeted_rest_request_rejected")
+    return rows.select("candidate_id", "kind", "component", F.col("asset_id").alias("token_id"), "session_id", "seq", "version", code.alias("code"))
+
+
+def failed_reads(failures: DataFrame) -> DataFrame:
+    """Transport failures as reads without a response, of status 0; failures: as of timing.failures()."""
+    return failures.where("transport").select(F.col("ingest_sequence").alias("rest_id"), "token_id", "candidate_id", F.lit(0).alias("status_code"), "code")
+
+
 def outcome(rest: DataFrame) -> DataFrame:
     """rest with code: rest_non_2xx, rest_invalid_json, or null for usable responses."""
     code = F.when(~F.col("status_code").between(200, 299), "rest_non_2xx").when((F.col("parse_status") != "ok") | ~F.col("is_object"), "rest_invalid_json")

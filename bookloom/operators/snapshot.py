@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import last_before
 from .rest import as_of
 
 #: Observations before this date are of another regime.
@@ -34,11 +35,18 @@ def metadata_as_of(requests: DataFrame, metadata: DataFrame, values: list[str])
     return as_of(requests, metadata, ["asset_id"], "at", values)
 
 
-def gap_states(states: DataFrame, gaps: DataFrame) -> DataFrame:
-    """states with gap rows (received) as invalid states of every asset that has one before."""
-    dead = gaps.select(F.col("received").alias("gap")).join(states.groupBy("asset_id").agg(F.min("received").alias("first")), F.col("gap") > F.col("first"))
-    rows = dead.select("asset_id", F.col("gap").alias("received"), F.lit(False).alias("valid"))
-    return states.unionByName(rows, allowMissingColumns=True)
+def gap_checked(requests: DataFrame, gaps: DataFrame, at: str = "at", seen: str = "as_of") -> DataFrame:
+    """requests with valid put to false where a gap of the feed lies between the state seen and the request.
+
+    A gap is of the whole feed, not of an asset: it invalidates every state received before it. gaps: received. Times
+    are cut into hours, so gaps and requests meet there and the last gap of earlier hours is carried on.
+    """
+    asked = requests.withColumns({"__bl_at": F.col(at), "__bl_asked": F.lit(1), "__bl_gap": F.lit(None).cast("timestamp")})
+    both = asked.unionByName(gaps.select(F.col("received").alias("__bl_at"), F.lit(0).alias("__bl_asked"), F.col("received").alias("__bl_gap")), allowMissingColumns=True)
+    both = both.withColumn("__bl_hour", F.date_trunc("hour", "__bl_at"))
+    out = last_before(both, ["__bl_hour"], ["__bl_at", "__bl_asked"], ["__bl_gap"]).where("__bl_asked = 1")
+    lost = F.coalesce(F.col("__bl_gap_before") > F.col(seen), F.lit(False))
+    return out.withColumn("valid", F.col("valid") & ~lost).select(*requests.columns)
 
 
 def tick_contradictions(ticks: DataFrame) -> DataFrame:
@@ -60,4 +68,4 @@ def stale_sources(events: DataFrame, limit_ms: int | None = None) -> DataFrame:
     if limit_ms is None:
         return events.where(F.lit(False))
     top = F.max("source_ms").over(W.partitionBy("token").orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
-    return events.withColumn("_top", top).where(F.col("_top") - F.col("source_ms") > limit_ms).drop("_top")
+    return events.withColumn("__bl_top", top).where(F.col("__bl_top") - F.col("source_ms") > limit_ms).drop("__bl_top")

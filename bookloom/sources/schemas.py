@@ -11,12 +11,18 @@ BOOK_METADATA = ("min_order_size", "tick_size", "neg_risk", "last_trade_price")
 REST_FIELDS = ("hash", "tick_size", "min_order_size", "neg_risk", "last_trade_price")
 HASH_FIELDS = ("market", "asset_id", "timestamp", "hash", "bids", "asks", "min_order_size", "tick_size", "neg_risk", "last_trade_price")
 ENTRY_FIELDS = ("asset_id", "price", "size", "side", "hash")
-ORDERING_LEAVES = ("offset", "seq", "seq_id", "seqid", "sequence", "sequence_id", "sequenceid", "update_id", "updateid")
 HEARTBEAT = "PONG"
-EXAMPLES = 20
+#: Fixed values of the analysis, not of the feed: names of members that may say an order.
+ORDERING_LEAVES = ("offset", "seq", "seq_id", "seqid", "sequence", "sequence_id", "sequenceid", "update_id", "updateid")
+#: Control events of a collector that are errors of a run, and those that are failed reads.
+OPERATIONAL_FAILURES = ("heartbeat_timeout", "targeted_rest_request_rejected", "websocket_connection_error", "websocket_disconnect")
+TRANSPORT_FAILURES = ("rest_timeout", "rest_transport_error")
+EXAMPLES, EXAMPLES_SHOWN = 20, 3
 
-#: Exact numbers: more fraction digits than this are reported, never rounded.
-DECIMAL, SCALE = "decimal(38,18)", 18
+#: Exact prices and sizes: up to 13 whole and 25 fraction digits; what has more is reported, never rounded.
+DECIMAL = "decimal(38,25)"
+#: Exact times in milliseconds need more whole digits.
+TIME = "decimal(38,9)"
 #: The one spelling of numbers that every engine reads alike.
 NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 NOT_FINITE = r"(?i)^[+-]?(inf(inity)?|s?nan[0-9]*)$"
