@@ -4,20 +4,32 @@ from __future__ import annotations
 
 import hashlib
 import json
+from dataclasses import dataclass, field
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bookloom.operators.ordered import numbered
+
 from .schemas import ARCHIVE, CONTROL, HEARTBEAT, REST, WEBSOCKET
 
 FILES = {"websocket": ("raw-websocket.jsonl", WEBSOCKET), "rest": ("raw-rest-book.jsonl", REST), "control": ("control-events.jsonl", CONTROL)}
 
 
-def read_records(spark: SparkSession, run_dir: str, kind: str) -> DataFrame:
-    """One of the three record files of a run, or of many by a path pattern."""
+#: Where a record stands: its file, the block of it that a task reads, and the place in that.
+PLACE = ("file", "block", "place")
+#: Larger files are digested as a stream, one after the other, not as a row.
+LARGE = 256 << 20
+
+
+def read_records(spark: SparkSession, run_dir: str, kind: str, place: bool = False) -> DataFrame:
+    """One of the three record files of a run, or of many by a path pattern; place: with PLACE, the order of arrival."""
     name, schema = FILES[kind]
-    return spark.read.schema(schema).json(f"{run_dir}/{name}")
+    rows = spark.read.schema(schema).json(f"{run_dir}/{name}")
+    if not place:
+        return rows
+    return rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
 
 
 def read_records_stream(spark: SparkSession, folder: str, kind: str) -> DataFrame:
@@ -41,21 +53,38 @@ def with_status(records: DataFrame, payload: str = "raw_payload", kind: str = "p
     """
     raw = F.col(payload)
     content = F.when(F.col(kind) == "bytes_base64", F.unbase64(raw)).otherwise(F.encode(raw, "UTF-8"))
-    out = records.withColumn("_content", content).withColumn("_text", F.when(F.is_valid_utf8("_content"), F.decode("_content", "UTF-8")))
-    decoded = F.try_parse_json("_text")
+    out = records.withColumn("__bl_content", content).withColumn("__bl_text", F.when(F.is_valid_utf8("__bl_content"), F.decode("__bl_content", "UTF-8")))
+    decoded = F.try_parse_json("__bl_text")
     status = (
         F.when((F.col(kind) == "text") & (raw == HEARTBEAT), "expected_heartbeat")
-        .when(F.col("_text").isNull(), "invalid_utf8")
+        .when(F.col("__bl_text").isNull(), "invalid_utf8")
         .when(decoded.isNull(), "invalid_json")
         .otherwise("ok")
     )
-    return out.withColumns({"digest": F.sha2("_content", 256), "parse_status": status, "decoded": decoded}).drop("_content", "_text")
+    return out.withColumns({"digest": F.sha2("__bl_content", 256), "parse_status": status, "decoded": decoded}).drop("__bl_content", "__bl_text")
+
+
+def _path(spark: SparkSession, name: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def manifest(spark: SparkSession, run_dir: str) -> DataFrame:
-    """file, bytes, sha256 of a run's files; content never leaves the executors."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(run_dir)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """file (below run_dir), bytes, sha256 and modified of a run's files, of any size; content never becomes a driver's row."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(run_dir)
+    base = F.regexp_replace(F.lit(_path(spark, run_dir)[0].toUri().getPath()), "/+$", "")
+    file = F.expr("substring(url_decode(replace(regexp_replace(path, '^[A-Za-z0-9+.-]+:(//[^/]*)?', ''), '+', '%2B')), length(base) + 2)")
+    columns = (file.alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    small = found.where(F.col("length") < LARGE).withColumn("base", base).select(*columns, F.sha2("content", 256).alias("sha256"))
+    rows = []
+    for r in found.where(F.col("length") >= LARGE).withColumn("base", base).select("path", *columns).collect():  # names of large files
+        p, fs = _path(spark, r["path"])
+        stream = fs.open(p)
+        try:
+            rows.append((r["file"], r["bytes"], r["modified"], spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))
+        finally:
+            stream.close()
+    return small.unionByName(spark.createDataFrame(rows, small.schema)) if rows else small
 
 
 def canonical_json(columns: list[str]):
@@ -68,8 +97,77 @@ def write_records(df: DataFrame, run_dir: str, kind: str) -> None:
     df.select(canonical_json(df.columns).alias("value")).write.mode("errorifexists").text(f"{run_dir}/{FILES[kind][0]}")
 
 
-def write_once(df: DataFrame, path: str) -> None:
-    df.coalesce(1).select(canonical_json(df.columns).alias("value")).write.mode("errorifexists").text(path)
+def canonical_text(value) -> str:
+    """A document's JSON: keys in order, no blanks, text as it is."""
+    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+
+
+def write_text_once(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as one file in any store that Spark reaches; one that exists is refused, never replaced."""
+    p, fs = _path(spark, path)
+    out = fs.create(p, False)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def write_once(spark: SparkSession, path: str, value) -> None:
+    write_text_once(spark, path, canonical_text(value) + "\n")
+
+
+@dataclass
+class EvidenceRun:
+    """A run's folder: a new one, or nothing. Records are appended with one sequence over all kinds; closing writes the
+    manifest, after which nothing is added."""
+
+    spark: SparkSession
+    root: str
+    run_id: str
+    last_sequence: int = 0
+    closed: bool = False
+    counts: dict[str, int] = field(default_factory=dict)
+
+    def __post_init__(self):
+        p, fs = _path(self.spark, self.path)
+        if fs.exists(p):
+            raise FileExistsError(self.path)
+        fs.mkdirs(p)
+
+    @property
+    def path(self) -> str:
+        return f"{self.root.rstrip('/')}/{self.run_id}"
+
+    def start(self, config: dict) -> None:
+        write_once(self.spark, f"{self.path}/initial-config.json", config)
+
+    def resolve(self, config: dict) -> None:
+        write_once(self.spark, f"{self.path}/resolved-config.json", config)
+
+    def append(self, df: DataFrame, kind: str, ranges: list[str], order: list[str]) -> None:
+        """Rows in order get the next sequence numbers and become a new part of their record file; ranges and order as of ordered."""
+        if self.closed:
+            raise RuntimeError("a closed run takes no records")
+        numbers = numbered(df.drop("ingest_sequence"), ranges, order, "ingest_sequence", self.last_sequence)
+        keep = [c.strip().split(" ")[0] for c in FILES[kind][1].split(", ")]
+        rows = numbers.select(*(F.col(c) for c in keep if c in numbers.columns))
+        part = f"{self.path}/{FILES[kind][0]}"
+        rows.select(canonical_json(rows.columns).alias("value")).write.mode("append").text(part)
+        total = self.spark.read.text(part).count()
+        self.last_sequence += total - self.counts.get(kind, 0)
+        self.counts[kind] = total
+
+    def close(self, summary: dict | None = None, report: str | None = None) -> dict:
+        """The manifest of what was written; summary and report are written beside it, once."""
+        self.closed = True
+        files = {r["file"]: {"bytes": r["bytes"], "sha256": r["sha256"]} for r in manifest(self.spark, self.path).collect()}
+        found = {"algorithm": "sha256", "files": files}
+        write_once(self.spark, f"{self.path}/manifest.json", found)
+        if summary is not None:
+            write_once(self.spark, f"{self.path}/summary.json", summary)
+        if report is not None:
+            write_text_once(self.spark, f"{self.path}/report.md", report)
+        return found
 
 
 def write_shard(df: DataFrame, root: str, shard: int) -> None:

@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.operators import frames
+from bookloom.operators import frames, replay
 
 from .evidence import with_status
+from .schemas import DECIMAL
 from .staging import staged
 
 FEED = """SELECT event_id AS eid, event_id * 10 AS seq,
@@ -110,16 +111,50 @@ def feed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_status(rows.select("eid", "session_id", "asset_id", "ts", "ingest_sequence", raw.alias("raw_payload"), kind.alias("payload_kind")))
 
 
+#: Views made once in an application and kept in the shared folder: they are the queries' input, not their work.
+_MADE: dict[tuple[str, str, str], tuple[DataFrame, ...]] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make) -> tuple[DataFrame, ...]:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
+
+
 def feed_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """books, entries and levels of the feed, read from its payloads."""
-    rows = feed(spark, sf_dir).select("session_id", F.col("seq"), F.lit("text").alias("payload_kind"), payload().alias("raw_payload"))
-    found = frames.events(with_status(rows), ("session_id", "seq"))
-    keep = ("session_id", "seq", "event_index")
-    found = staged(found, "events")
-    books = staged(frames.books(found, keep), "books")
-    levels = frames.level_rows(found, keep).where("level_code IS NULL")
-    levels = levels.join(books.where("code IS NULL").select(*keep, "asset_id"), list(keep))
-    return books, staged(frames.entries(found, keep), "entries"), staged(levels, "book-levels")
+    return feed_tables(spark, sf_dir)[:3]
+
+
+def feed_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """feed_parts() and the events they come from."""
+
+    def make():
+        rows = feed(spark, sf_dir).select("session_id", F.col("seq"), F.lit("text").alias("payload_kind"), payload().alias("raw_payload"))
+        keep = ("session_id", "seq", "event_index")
+        found = staged(frames.events(with_status(rows), ("session_id", "seq")), "events")
+        books = staged(frames.books(found, keep), "books")
+        levels = frames.level_rows(found, keep).where("level_code IS NULL")
+        levels = levels.join(books.where("code IS NULL").select(*keep, "asset_id"), list(keep))
+        return books, staged(frames.entries(found, keep), "entries"), staged(levels, "book-levels"), found
+
+    return _once(spark, sf_dir, "feed", make)
+
+
+def claimed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed's entries with claims of best prices, which a replay of them gives."""
+
+    def make():
+        books, entries, levels = feed_parts(spark, sf_dir)
+        events = staged(replay.number_events(books, entries), "numbered")
+        points = events.where("NOT is_book AND epoch > 0 AND code IS NULL AND parse_code IS NULL")
+        best = replay.best_prices(points, staged(replay.level_events(events, levels), "levels"))
+        at = ["session_id", "asset_id", "seq", "event_index", "change_index"]
+        derived = points.select(*replay.KEY, "n", "seq", "event_index", "change_index").join(best, [*replay.KEY, "n"]).select(*at, "derived_bid", "derived_ask")
+        return (staged(with_claims(entries, derived), "claimed"),)
+
+    return _once(spark, sf_dir, "claims", make)[0]
 
 
 def with_claims(entries: DataFrame, derived: DataFrame) -> DataFrame:
@@ -127,8 +162,8 @@ def with_claims(entries: DataFrame, derived: DataFrame) -> DataFrame:
     eid = F.col("seq") / 10
     e = entries.drop("has_bid", "best_bid", "best_bid_code", "has_ask", "best_ask", "best_ask_code").join(derived, ["session_id", "asset_id", "seq", "event_index", "change_index"], "left")
     given = eid % 43 != 0
-    boundary = lambda v: F.when(eid % 2 == 0, F.lit(v)).cast("decimal(38,18)")
-    bid = F.when(eid % 37 == 0, F.lit("0.99").cast("decimal(38,18)")).otherwise(F.coalesce("derived_bid", boundary(0)))
+    boundary = lambda v: F.when(eid % 2 == 0, F.lit(v)).cast(DECIMAL)
+    bid = F.when(eid % 37 == 0, F.lit("0.99").cast(DECIMAL)).otherwise(F.coalesce("derived_bid", boundary(0)))
     ask = F.when(eid % 41 != 0, F.coalesce("derived_ask", boundary(1)))
     out = {"has_bid": given, "best_bid": bid, "best_bid_code": F.lit(None).cast("string"), "has_ask": given, "best_ask": ask, "best_ask_code": F.when(given & (eid % 41 == 0), "decimal_parse_failure")}
     return e.withColumns(out).drop("derived_bid", "derived_ask")
