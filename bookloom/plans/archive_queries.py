@@ -100,20 +100,20 @@ def archive_pilot_window(spark, d):
     return archive.pilot_window(_rows(spark, d), 3000).select("asset_id", "rows")
 
 
-def _quotes(spark, d):
+def quotes(spark, d):
     """asset_id, received, prices, valid: one in 11 states invalid."""
     f = g.feed(spark, d).where("kind = 'change'")
     return f.select("eid", "asset_id", F.col("ts").alias("received"), "seq", (F.col("tick") / 20).alias("best_bid"), (F.col("tick") / 20 + 0.25).alias("best_ask"), (F.col("eid") % 11 != 0).alias("valid"))
 
 
 def market_snapshot(spark, d):
-    asked = g.feed(spark, d).where("eid % 17 = 0").select("eid", "asset_id", F.col("ts").alias("at"))
-    out = snapshot.market_snapshot(asked, _quotes(spark, d))
+    asked = g.feed(spark, d).select("eid", "asset_id", F.col("ts").alias("at"))
+    out = snapshot.market_snapshot(asked, quotes(spark, d))
     return out.select("eid", "asset_id", "best_bid", "best_ask", F.round("spread", 6).alias("spread"), F.coalesce(F.unix_millis("as_of"), F.lit(-1)).alias("as_of_ms"), "valid")
 
 
 def metadata_as_of(spark, d):
-    asked = g.feed(spark, d).where("eid % 17 = 0").select("eid", "asset_id", F.col("seq").alias("at"))
+    asked = g.feed(spark, d).select("eid", "asset_id", F.col("seq").alias("at"))
     known = g.feed(spark, d).where("kind = 'book'").select("asset_id", F.col("seq").alias("at"), F.col("tick").alias("tick_size"))
     return snapshot.metadata_as_of(asked, known, ["tick_size"]).select("eid", "asset_id", F.coalesce("tick_size", F.lit(-1)).alias("tick_size"))
 
@@ -124,8 +124,8 @@ def tick_contradictions(spark, d):
 
 
 def best_signal(spark, d):
-    q = _quotes(spark, d)
-    asked = g.feed(spark, d).where("eid % 5 = 0").select("asset_id", "seq", (F.col("tick") / 20).alias("best_bid"), (F.col("tick") / 20 + 0.25).alias("best_ask"))
+    q = quotes(spark, d)
+    asked = g.feed(spark, d).select("asset_id", "seq", (F.col("tick") / 20).alias("best_bid"), (F.col("tick") / 20 + 0.25).alias("best_ask"))
     out = snapshot.best_signal(asked, q.select("asset_id", "seq", "best_bid", "best_ask"))
     return out.groupBy(F.coalesce(F.col("agrees").cast("string"), F.lit("unknown")).alias("agrees")).agg(F.count("*").alias("events"))
 
@@ -227,12 +227,12 @@ SELECT epoch_ms(hour) AS hour_ms, coalesce(events, 0) AS events, coalesce(assets
     "archive_sort_breaks": f"WITH {_A}, w AS (SELECT (row_id % 3)::VARCHAR AS file, (asset_id, received) < lag((asset_id, received)) OVER (PARTITION BY row_id % 3 ORDER BY row_id) AS broken FROM archive) SELECT file, count(*) FILTER (broken) AS breaks FROM w GROUP BY 1",
     "archive_diagnostics": f"WITH {_A}, w AS (SELECT CASE WHEN row_id % 101 = 0 THEN 'null_key' WHEN epoch_ms(received) < 1704070800000 OR epoch_ms(received) >= 1704157200000 THEN 'out_of_hour' END AS problem FROM archive) SELECT problem, count(*) AS rows FROM w WHERE problem IS NOT NULL GROUP BY 1",
     "archive_pilot_window": f"WITH {_A}, p AS (SELECT asset_id, count(*) AS rows FROM archive GROUP BY 1), w AS (SELECT *, coalesce(sum(rows) OVER (ORDER BY asset_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) SELECT asset_id, rows FROM w WHERE before < 3000",
-    "market_snapshot": f"""WITH {_FEED}, q AS (SELECT asset_id, ts, tick / 20 AS b, tick / 20 + 0.25 AS a, eid % 11 <> 0 AS valid FROM feed WHERE kind = 'change'), r AS (SELECT eid, asset_id, ts FROM feed WHERE eid % 17 = 0)
+    "market_snapshot": f"""WITH {_FEED}, q AS (SELECT asset_id, ts, tick / 20 AS b, tick / 20 + 0.25 AS a, eid % 11 <> 0 AS valid FROM feed WHERE kind = 'change'), r AS (SELECT eid, asset_id, ts FROM feed)
 SELECT r.eid, r.asset_id, CASE WHEN q.valid THEN q.b END::DOUBLE AS best_bid, CASE WHEN q.valid THEN q.a END::DOUBLE AS best_ask, round(CASE WHEN q.valid THEN q.a - q.b END, 6)::DOUBLE AS spread, coalesce(epoch_us(q.ts) // 1000, -1) AS as_of_ms, coalesce(q.valid, false) AS valid
 FROM r ASOF LEFT JOIN q ON r.asset_id = q.asset_id AND r.ts >= q.ts""",
-    "metadata_as_of": f"WITH {_FEED} SELECT r.eid, r.asset_id, coalesce(m.tick, -1) AS tick_size FROM (SELECT eid, asset_id, seq FROM feed WHERE eid % 17 = 0) r ASOF LEFT JOIN (SELECT asset_id, seq, tick FROM feed WHERE kind = 'book') m ON r.asset_id = m.asset_id AND r.seq >= m.seq",
+    "metadata_as_of": f"WITH {_FEED} SELECT r.eid, r.asset_id, coalesce(m.tick, -1) AS tick_size FROM (SELECT eid, asset_id, seq FROM feed) r ASOF LEFT JOIN (SELECT asset_id, seq, tick FROM feed WHERE kind = 'book') m ON r.asset_id = m.asset_id AND r.seq >= m.seq",
     "tick_contradictions": f"WITH {_FEED}, w AS (SELECT asset_id, seq, eid % 2 AS old_tick, lag(eid % 3) OVER (PARTITION BY asset_id ORDER BY seq) AS expected FROM feed WHERE kind = 'bad') SELECT * FROM w WHERE expected <> old_tick",
-    "best_signal": f"""WITH {_FEED}, j AS (SELECT r.tick AS a, q.tick AS b FROM (SELECT * FROM feed WHERE eid % 5 = 0) r ASOF LEFT JOIN (SELECT asset_id, seq, tick FROM feed WHERE kind = 'change') q ON r.asset_id = q.asset_id AND r.seq >= q.seq)
+    "best_signal": f"""WITH {_FEED}, j AS (SELECT r.tick AS a, q.tick AS b FROM (SELECT * FROM feed) r ASOF LEFT JOIN (SELECT asset_id, seq, tick FROM feed WHERE kind = 'change') q ON r.asset_id = q.asset_id AND r.seq >= q.seq)
 SELECT CASE WHEN b IS NULL THEN 'unknown' WHEN a = b THEN 'true' ELSE 'false' END AS agrees, count(*) AS events FROM j GROUP BY 1""",
     "sequence_report": f"""WITH {_FEED}, r AS (SELECT user_id % 6 AS conn_id, eid // 2 - CASE WHEN eid % 61 = 0 THEN 40 ELSE 0 END AS m, eid // 3 AS t, eid FROM feed),
 w AS (SELECT *, m - lag(m) OVER x AS step, t = lag(t) OVER x AS tie FROM r WINDOW x AS (PARTITION BY conn_id ORDER BY eid))

@@ -6,24 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bookloom.functions import bookhash, exact, wire
-from bookloom.operators import frames, replay, repeats, rest, timing
+from bookloom.operators import frames, ordered, replay, repeats, rest, timing
 from bookloom.sources import generated as g
+from bookloom.sources.schemas import DECIMAL
 from bookloom.sources.staging import staged
 
-_AT = ["session_id", "asset_id", "seq", "event_index", "change_index"]
-
+from . import verdicts
 
 def fates(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """fates, books, levels and numbered level events of the feed with claims."""
-    books, entries, levels = g.feed_parts(spark, d)
-    numbered = staged(replay.number_events(books, entries), "numbered")
-    points = numbered.where("NOT is_book AND epoch > 0 AND code IS NULL AND parse_code IS NULL")
-    best = replay.best_prices(points, staged(replay.level_events(numbered, levels), "levels"))
-    derived = points.select(*replay.KEY, "n", "seq", "event_index", "change_index").join(best, [*replay.KEY, "n"]).select(*_AT, "derived_bid", "derived_ask")
-    claimed = staged(g.with_claims(entries, derived), "claimed")
-    events = staged(replay.number_events(books, claimed), "numbered")
+    """fates, books, numbered events and level events of the feed with claims."""
+    books, _, levels = g.feed_parts(spark, d)
+    events = staged(replay.number_events(books, g.claimed_entries(spark, d)), "numbered")
     changed = staged(replay.level_events(events, levels), "levels")
-    return staged(replay.judge(events, changed), "fates"), books, levels, changed
+    return staged(replay.judge(events, changed), "fates"), books, events, changed
 
 
 def _cents(c: str):
@@ -45,10 +40,14 @@ def payload_digests(spark, d):
     return t.select("doc_id", F.sha2("text", 256).alias("sha256"), F.sha1("text").alias("sha1"), F.length(wire.base64_text(F.col("text"))).cast("bigint").alias("base64_chars"))
 
 
-def receive_order(spark, d):
+def received(spark, d):
+    """The feed's frames with what regressed, in processing order."""
     rows = g.feed(spark, d).selectExpr("eid", "eid - CASE WHEN eid % 97 = 0 THEN 5 ELSE 0 END AS ingest_sequence", "CASE WHEN eid % 7 <> 0 THEN eid * 1000 - CASE WHEN eid % 89 = 0 THEN 5000 ELSE 0 END END AS received_monotonic_ns")
-    out = frames.receive_order(rows, "eid")
-    return out.agg(F.count_if("sequence_regressed").alias("sequence_regressions"), F.count_if("monotonic_regressed").alias("monotonic_regressions"))
+    return frames.receive_order(rows.withColumn("span", ordered.span_of(F.col("eid"))), ["eid"], ["span"])
+
+
+def receive_order(spark, d):
+    return received(spark, d).agg(F.count_if("sequence_regressed").alias("sequence_regressions"), F.count_if("monotonic_regressed").alias("monotonic_regressions"))
 
 
 def event_counts(spark, d):
@@ -128,6 +127,32 @@ def orderbook_hash(spark, d):
     return found.select(F.col("ingest_sequence").alias("seq"), bookhash.event_hash(F.col("event")).alias("hash"))
 
 
+def _change_hashes(spark, d):
+    f, _, events, changed = fates(spark, d)
+    found = g.feed_tables(spark, d)[3]
+    return replay.change_hashes(replay.hash_points(found, f), changed, replay.hash_books(found, events))
+
+
+def change_hashes(spark, d):
+    return _change_hashes(spark, d).select("seq", "asset_id", F.col("computed").alias("hash"))
+
+
+def _checked(spark, d):
+    """Digests of books and changes against observed ones; one in 7,919 is another."""
+    books = g.feed_tables(spark, d)[3].where("code IS NULL AND event_type = 'book'").join(g.feed_parts(spark, d)[0].where("code IS NULL").select("session_id", "seq", "event_index"), ["session_id", "seq", "event_index"])
+    both = books.select("session_id", "seq", F.lit("book").alias("shape"), bookhash.event_hash(F.col("event")).alias("computed"))
+    both = both.unionByName(_change_hashes(spark, d).select("session_id", "seq", F.lit("change").alias("shape"), "computed"))
+    return both.withColumn("observed", F.when(F.col("seq") / 10 % 7919 != 0, F.col("computed")).otherwise("h"))
+
+
+def hash_checks(spark, d):
+    return replay.hash_counters(_checked(spark, d))
+
+
+def hash_verdicts(spark, d):
+    return verdicts.hash_status(_checked(spark, d), ("session_id",))
+
+
 def entry_histogram(spark, d):
     per = g.frame_entries(spark, d).groupBy("frame").agg(F.count("*").alias("frame_entries"))
     return repeats.entries_histogram(per)
@@ -141,24 +166,24 @@ def repeat_counters(spark, d):
     return repeats.repeat_counters(frame_repeats(spark, d))
 
 
-def _timed(spark, d):
+def timed(spark, d):
     source = F.unix_millis("ts") - F.when(F.col("eid") % 29 == 0, 7_200_000).otherwise(0)
     received = F.expr("timestampadd(MILLISECOND, CAST(eid % 1000 - 50 AS INT), ts)")
     return g.feed(spark, d).select(F.col("asset_id").alias("token"), "seq", F.lit(0).alias("event_index"), (F.floor(source / 60_000) * 60_000).alias("source_ms"), received.alias("received_at"), F.unix_millis("ts").alias("exact_ms"))
 
 
 def source_order(spark, d):
-    return timing.order_counters(timing.source_order(_timed(spark, d)))
+    return timing.order_counters(timing.source_order(timed(spark, d)))
 
 
 def delays(spark, d):
-    rows = _timed(spark, d).select("received_at", F.col("exact_ms").cast("decimal(20,0)").alias("source_ms"))
+    rows = timed(spark, d).select("received_at", F.col("exact_ms").cast("decimal(20,0)").alias("source_ms"))
     out = timing.delays(rows)
     return out.select("n", *(F.col(c).cast("double").alias(c) for c in ("minimum", "p50", "p95", "maximum")), "future")
 
 
 def same_time_groups(spark, d):
-    return timing.same_time_groups(_timed(spark, d))
+    return timing.same_time_groups(timed(spark, d))
 
 
 def first_state_events(spark, d):
@@ -171,8 +196,7 @@ def first_state_events(spark, d):
 
 def rest_rows(spark, d):
     """Snapshots of the feed's state after every 13th event, some with another depth or an unstable window."""
-    f, books, levels, changed = fates(spark, d)
-    numbered = replay.number_events(books, f.drop("epoch", "n"))
+    f, books, numbered, changed = fates(spark, d)
     reads = g.feed(spark, d).where("eid % 13 = 0").select("eid", "session_id", "asset_id", (F.col("seq") + 5).alias("seq"))
     state = numbered.select("session_id", "asset_id", "seq", "epoch", "n")
     reads = rest.as_of(reads, state, ["session_id", "asset_id"], "seq", ["epoch", "n"])
@@ -186,7 +210,7 @@ def rest_rows(spark, d):
     reads = rest.align(reads.withColumns(window)).withColumn("rest_id", F.col("eid"))
     live = reads.where("epoch > 0")
     own = replay.alive_at(live.select("rest_id", *replay.KEY, "n"), changed, ["rest_id"])
-    extra = live.where("eid % 3 = 0").select("rest_id", F.lit("BUY").alias("side"), F.lit("0.95").cast("decimal(38,18)").alias("price"), F.lit(1).cast("decimal(38,18)").alias("size"))
+    extra = live.where("eid % 3 = 0").select("rest_id", F.lit("BUY").alias("side"), F.lit("0.95").cast(DECIMAL).alias("price"), F.lit(1).cast(DECIMAL).alias("size"))
     return f, books, reads, rest.depth_matches(live, own.unionByName(extra), changed)
 
 
@@ -218,7 +242,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         frame_status, duplicate_frames, payload_digests, receive_order, event_counts, event_errors, field_inventory, ordering_fields, event_tokens, frame_metadata,
-        exact_numbers, level_checks, best_prices, replay_entries, update_counters, state_versions, orderbook_hash, entry_histogram, frame_repeats, repeat_counters,
+        exact_numbers, level_checks, best_prices, replay_entries, update_counters, state_versions, orderbook_hash, change_hashes, hash_checks, hash_verdicts, entry_histogram, frame_repeats, repeat_counters,
         source_order, delays, same_time_groups, first_state_events, rest_alignment, update_validations, empty_side_candidates,
     )
 }
@@ -270,6 +294,15 @@ done AS (
          CASE WHEN reason IS NULL THEN derived_bid END AS derived_bid, CASE WHEN reason IS NULL THEN derived_ask END AS derived_ask FROM fates)"""
 _VERSIONS = """vers AS (SELECT asset_id, seq, session_id, row_number() OVER (PARTITION BY asset_id ORDER BY seq) AS version FROM
   (SELECT asset_id, bseq AS seq, session_id FROM books UNION ALL SELECT asset_id, seq, session_id FROM done WHERE status = 'applied'))"""
+_LEVEL = "'{\"price\":\"0.' || tick || '\",\"size\":\"' || size || '\"}'"
+_HASHED = f"""{_FATES}, shown_levels AS (
+  SELECT seq, coalesce(string_agg({_LEVEL}, ',' ORDER BY tick DESC) FILTER (side = 'BUY' AND size > 0), '') AS bids, coalesce(string_agg({_LEVEL}, ',' ORDER BY tick) FILTER (side = 'SELL' AND size > 0), '') AS asks FROM alive GROUP BY seq),
+hashed AS (
+  SELECT d.seq, d.session_id, d.asset_id, sha1('{{"market":"m","asset_id":"' || d.asset_id || '","timestamp":"' || (epoch_us(f.ts) // 1000) || '","hash":"","bids":[' || l.bids || '],"asks":[' || l.asks || '],"min_order_size":"5","tick_size":"0.1","neg_risk":false,"last_trade_price":"0.' || b.tick || '"}}') AS hash
+  FROM done d JOIN feed f ON f.seq = d.seq JOIN feed b ON b.seq = d.bseq JOIN shown_levels l ON l.seq = d.seq WHERE d.status = 'applied'),
+checked AS (
+  SELECT session_id, seq, 'change' AS shape FROM hashed UNION ALL SELECT session_id, seq, 'book' FROM feed WHERE kind = 'book'),
+marked AS (SELECT *, (seq // 10) % 7919 <> 0 AS good FROM checked)"""
 _READS = f"""{_FATES}, {_VERSIONS},
 reads AS (SELECT eid, session_id, asset_id, seq + 5 AS seq FROM feed WHERE eid % 13 = 0),
 seen AS (
@@ -293,6 +326,10 @@ k AS (SELECT frame, asset_id, side, price_key, count(*) AS n, arg_min(size_key,
 per AS (SELECT frame, sum(n)::BIGINT AS frame_entries, count(*) FILTER (n > 1) AS repeated_keys, coalesce(bool_or(n > 1 AND a <> b), false) AS order_sensitive FROM k GROUP BY frame),
 asset AS (SELECT frame, max(n) > 1 AS same_asset FROM (SELECT frame, asset_id, count(*) AS n FROM frames GROUP BY ALL) GROUP BY frame)"""
 
+_PATHS = f"""p AS (SELECT event_id, event_type, unnest(t) AS t FROM (SELECT event_id, event_type, (SELECT list(j) FROM json_tree({_INVENTORY_JSON.replace('AS STRING', 'AS VARCHAR')}) j) AS t FROM events)),
+n AS (SELECT event_id, event_type, regexp_replace(substr(t.fullkey, 3), '\\[[0-9]+\\]', '[]', 'g') AS path,
+      CASE t.type WHEN 'VARCHAR' THEN 'string' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END AS wire_type FROM p WHERE t.fullkey <> '$')"""
+
 SQL = {
     "frame_status": f"WITH {_FEED}, {_SHOWN} SELECT parse_status, count(*) AS frames FROM shown GROUP BY 1",
     "duplicate_frames": "SELECT (count(*) - count(DISTINCT text))::BIGINT AS duplicate_frames FROM documents",
@@ -302,15 +339,13 @@ w AS (SELECT s <= lag(s) OVER (ORDER BY eid) AS sr, m < last_value(m IGNORE NULL
 SELECT count(*) FILTER (sr) AS sequence_regressions, count(*) FILTER (mr) AS monotonic_regressions FROM w""",
     "event_counts": f"WITH {_FEED}, {_SHOWN} SELECT CASE WHEN {_BOOK_KIND} THEN 'book' ELSE 'price_change' END AS event_type, count(*) AS events FROM shown WHERE parse_status = 'ok' GROUP BY 1",
     "event_errors": f"WITH {_FEED}, {_SHOWN} SELECT parse_status AS code, count(*) AS errors FROM shown WHERE parse_status IN ('invalid_utf8', 'invalid_json') GROUP BY 1",
-    "field_inventory": f"""WITH p AS (SELECT event_id, event_type, unnest(t) AS t FROM (SELECT event_id, event_type, (SELECT list(j) FROM json_tree({_INVENTORY_JSON.replace('AS STRING', 'AS VARCHAR')}) j) AS t FROM events)),
-n AS (SELECT event_id, event_type, regexp_replace(substr(t.fullkey, 3), '\\[[0-9]+\\]', '[]', 'g') AS path,
-      CASE t.type WHEN 'VARCHAR' THEN 'string' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END AS wire_type FROM p WHERE t.fullkey <> '$')
+    "field_inventory": f"""WITH {_PATHS}
 SELECT event_type, path, wire_type, count(DISTINCT event_id) AS presence, count(*) AS occurrences FROM n GROUP BY 1, 2, 3""",
-    "ordering_fields": "SELECT 'deep.a[].sequence_id' AS path, count(*) AS events FROM events",
+    "ordering_fields": f"""WITH {_PATHS} SELECT path, count(DISTINCT event_id) AS events FROM n WHERE contains(lower(regexp_extract(path, '[^.]*$')), 'sequence') OR lower(regexp_extract(path, '[^.]*$')) IN ('offset', 'seq', 'seq_id', 'seqid', 'update_id', 'updateid') GROUP BY 1""",
     "event_tokens": f"WITH {_FEED}, {_SHOWN} SELECT asset_id AS token, count(*) AS events FROM shown WHERE parse_status = 'ok' GROUP BY 1",
     "frame_metadata": f"WITH {_FEED}, {_SHOWN} SELECT CASE WHEN {_BOOK_KIND} THEN 'book' ELSE 'price_change' END AS event_types, asset_id AS asset_ids, count(*) AS frames, count(*) AS with_time FROM shown WHERE parse_status = 'ok' GROUP BY 1, 2",
-    "exact_numbers": f"""WITH {_FEED} SELECT eid, CASE eid % 9 WHEN 2 THEN 'decimal_parse_failure' WHEN 3 THEN 'decimal_not_finite' WHEN 4 THEN 'decimal_parse_failure' WHEN 6 THEN 'decimal_precision_unsupported' WHEN 7 THEN 'decimal_parse_failure' END AS code,
-CASE eid % 9 WHEN 0 THEN CASE WHEN tick = 0 THEN '0' ELSE '0.' || tick END WHEN 1 THEN '0.001' WHEN 5 THEN '0.5' WHEN 8 THEN '-' || eid || '.25' END AS number FROM feed""",
+    "exact_numbers": f"""WITH {_FEED} SELECT eid, CASE eid % 9 WHEN 2 THEN 'decimal_parse_failure' WHEN 3 THEN 'decimal_not_finite' WHEN 4 THEN 'decimal_parse_failure' WHEN 7 THEN 'decimal_parse_failure' END AS code,
+CASE eid % 9 WHEN 0 THEN CASE WHEN tick = 0 THEN '0' ELSE '0.' || tick END WHEN 1 THEN '0.001' WHEN 5 THEN '0.5' WHEN 6 THEN '0.1000000000000000000000001' WHEN 8 THEN '-' || eid || '.25' END AS number FROM feed""",
     "level_checks": f"""WITH {_FEED}, r AS (SELECT unnest(CASE eid % 7 WHEN 0 THEN ['price_out_of_bounds', 'accepted'] WHEN 1 THEN ['negative_size', 'duplicate_snapshot_level'] WHEN 2 THEN ['decimal_not_string', 'duplicate_snapshot_level']
   WHEN 3 THEN ['malformed_level', 'accepted'] WHEN 4 THEN ['missing_required_field', 'duplicate_snapshot_level'] ELSE ['accepted', 'duplicate_snapshot_level'] END) AS level_code FROM feed WHERE kind = 'book')
 SELECT level_code, count(*) AS levels FROM r GROUP BY 1""",
@@ -325,6 +360,9 @@ count(*) FILTER (comparison = 'match') AS comparison_match, count(*) FILTER (com
     "orderbook_hash": f"""WITH {_FEED}, {_SHOWN}, b AS (SELECT *, CASE WHEN kind = 'book' THEN {_HASH_LEVELS['bids']} ELSE '{{"price":"0.' || tick || '","size":"' || size || '"}},{{"price":"0.' || tick || '","size":"' || size || '"}}' END AS bids,
 {_HASH_LEVELS['asks']} AS asks FROM shown WHERE parse_status = 'ok' AND {_BOOK_KIND})
 SELECT seq, sha1('{{"market":"m","asset_id":"' || asset_id || '","timestamp":"' || (epoch_us(ts) // 1000) || '","hash":"","bids":[' || bids || '],"asks":[' || asks || '],"min_order_size":"5","tick_size":"0.1","neg_risk":false,"last_trade_price":"0.' || tick || '"}}') AS hash FROM b""",
+    "change_hashes": f"WITH {_HASHED} SELECT seq, asset_id, hash FROM hashed",
+    "hash_checks": f"WITH {_HASHED} SELECT shape, count(*) AS attempts, count(*) FILTER (good) AS matches, count(*) FILTER (NOT good) AS mismatches, 0::BIGINT AS skipped FROM marked GROUP BY 1",
+    "hash_verdicts": f"""WITH {_HASHED} SELECT session_id, CASE WHEN bool_and(good) AND count(*) FILTER (shape = 'book') > 0 AND count(*) FILTER (shape = 'change') > 0 THEN 'CONFIRMED' ELSE 'UNRESOLVED' END AS status FROM marked GROUP BY 1""",
     "entry_histogram": "SELECT n AS frame_entries, count(*) AS frames FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) GROUP BY 1",
     "frame_repeats": f"WITH {_REPEATS} SELECT frame, frame_entries, same_asset, repeated_keys, order_sensitive FROM per JOIN asset USING (frame)",
     "repeat_counters": f"""WITH {_REPEATS} SELECT count(*) AS frames, sum(frame_entries)::BIGINT AS entries, count(*) FILTER (frame_entries > 1) AS multi_entry_frames, count(*) FILTER (same_asset) AS same_asset_frames,

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bookloom.functions import bookhash
 from bookloom.functions.wire import has
 from bookloom.operators import frames, replay, rest
 from bookloom.sources import generated as g
 from bookloom.sources.schemas import BOOK_METADATA
-from bookloom.sources.staging import staged
 
 from . import feed_queries as q
 from . import verdicts as v
@@ -17,7 +15,7 @@ from . import verdicts as v
 
 def run_verdicts(spark, d):
     f, books, reads, match = q.rest_rows(spark, d)
-    found = staged(frames.events(g.feed_frames(spark, d)), "events")
+    found = frames.events(g.feed_frames(spark, d))
     book_events = found.where("code IS NULL AND event_type = 'book'")
     first = q.first_state_events(spark, d)
     sessions = first.select("session_id").distinct().withColumns({"completed": F.lit(True), "controlled": F.lit(True), "error": F.lit(None).cast("string")})
@@ -25,12 +23,11 @@ def run_verdicts(spark, d):
     matched = reads.where("aligned").join(match.where("full_match"), "rest_id").select("asset_id", "seq")
     validated = rest.validations(f, books, matched).groupBy("discriminating", "verdict").agg(F.count("*").alias("updates"))
     named = rest.candidates(f, replay.versions(books, f)).select("kind", F.lit(False).alias("confirmed"))
-    checked = book_events.select(F.lit("book").alias("shape"), F.lit("h").alias("observed"), bookhash.event_hash(F.col("event")).alias("computed"))
     presence = book_events.select(*(has(F.col("event"), f"$.{x}").alias(x) for x in BOOK_METADATA))
     fields = rest.field_presence(reads.withColumn("code", F.lit(None).cast("string")).withColumn("fields", F.array(*map(F.lit, ("hash", "tick_size", "min_order_size", "neg_risk", "last_trade_price")))))
     parts = [
         v.schema(frames.event_counts(found), q.ordering_fields(spark, d)), v.reconnect(sessions, first), v.updates(counters, validated, named), v.repeats(q.repeat_counters(spark, d)),
-        v.hashes(checked), v.rest(fields, reads.join(match, "rest_id", "left")), v.metadata(presence, BOOK_METADATA), v.times(q.source_order(spark, d), q.receive_order(spark, d)),
+        v.hashes(q._checked(spark, d)), v.rest(fields, reads.join(match, "rest_id", "left")), v.metadata(presence, BOOK_METADATA), v.times(q.source_order(spark, d), q.receive_order(spark, d)),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -47,7 +44,7 @@ f AS (SELECT bool_or(first_state_event = 'price_change') AS delta, bool_and(coal
 r AS (SELECT count(*) FILTER (aligned) AS a, count(*) FILTER (full_match = 'false') AS bad FROM ({_S['rest_alignment']})),
 o AS (SELECT sum(regressions) AS reg, min(events) AS least FROM ({_S['source_order']})), rr AS (SELECT * FROM ({_S['receive_order']})), k AS (SELECT * FROM ({_S['repeat_counters']})),
 h AS (SELECT count(*) AS n FROM ({_S['orderbook_hash']}))
-SELECT 'q1' AS question, 'CONFIRMED' AS status
+SELECT 'q1' AS question, CASE WHEN (SELECT count(*) FROM ({_S['event_counts']})) > 0 AND (SELECT count(*) FROM ({_S['ordering_fields']})) > 0 THEN 'CONFIRMED' ELSE 'UNRESOLVED' END AS status
 UNION ALL SELECT 'q2', CASE WHEN delta THEN 'CONTRADICTED' WHEN n >= 2 AND book AND ex THEN 'CONFIRMED' ELSE 'UNRESOLVED' END FROM f
 UNION ALL SELECT 'q3', CASE WHEN wrong > 0 THEN 'CONTRADICTED' WHEN comparisons > 0 AND n > 0 AND z > 0 AND buys > 0 AND sells > 0 AND cand = 0 THEN 'CONFIRMED' ELSE 'UNRESOLVED' END FROM u, w
 UNION ALL SELECT 'q3.nonzero_aggregate_replacement', CASE WHEN n > 0 THEN 'CONFIRMED' ELSE 'UNRESOLVED' END FROM w
@@ -56,7 +53,7 @@ UNION ALL SELECT 'q3.buy_bid_sell_ask', CASE WHEN buys > 0 AND sells > 0 AND wro
 UNION ALL SELECT 'q3.event_best_prices', CASE WHEN wrong > 0 THEN 'CONTRADICTED' WHEN comparisons > 0 AND cand = 0 THEN 'CONFIRMED' ELSE 'UNRESOLVED' END FROM u
 UNION ALL SELECT 'q3.empty_side_boundary_candidates', CASE WHEN cand = 0 THEN 'NOT_OBSERVED' ELSE 'UNRESOLVED' END FROM u
 UNION ALL SELECT 'q4', CASE WHEN repeated_key_frames > 0 THEN 'CONFIRMED' ELSE 'UNRESOLVED' END FROM k
-UNION ALL SELECT 'q5', 'UNRESOLVED' FROM h
+UNION ALL SELECT 'q5', CASE WHEN (SELECT bool_and(mismatches = 0 AND attempts > 0) AND count(*) = 2 FROM ({_S['hash_checks']})) THEN 'CONFIRMED' ELSE 'UNRESOLVED' END
 UNION ALL SELECT 'q6', CASE WHEN bad > 0 THEN 'UNRESOLVED' WHEN a > 0 THEN 'CONFIRMED' ELSE 'UNRESOLVED' END FROM r
 UNION ALL SELECT 'q7', CASE WHEN n > 0 THEN 'CONFIRMED' ELSE 'UNRESOLVED' END FROM h
 UNION ALL SELECT 'q8', CASE WHEN reg > 0 OR sequence_regressions > 0 OR monotonic_regressions > 0 THEN 'CONTRADICTED' WHEN least >= 2 THEN 'CONFIRMED' ELSE 'UNRESOLVED' END FROM o, rr""",

@@ -68,11 +68,18 @@ def repeats(counters: DataFrame) -> DataFrame:
 
 
 def hashes(checked: DataFrame) -> DataFrame:
-    """checked: shape (book, change), observed, computed (null: skipped)."""
+    """Confirmed if books and changes were tried and all of both match; checked: shape (book, change, rest), observed,
+    computed (null: skipped). Reads are a diagnostic only."""
+    return hash_status(checked).select(F.lit("q5").alias("question"), "status")
+
+
+def hash_status(checked: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The answer of hashes(), by columns of checked."""
     tried = F.col("computed").isNotNull()
-    good = tried & (F.col("observed") == F.col("computed"))
-    both = [(F.count_if(tried & (F.col("shape") == s)) > 0) & (F.count_if(tried & (F.col("shape") == s)) == F.count_if(good & (F.col("shape") == s))) for s in ("book", "change")]
-    return _one(checked, "q5", _if(both[0] & both[1]))
+    good = F.coalesce(F.col("observed") == F.col("computed"), F.lit(False))
+    of = lambda s, c: F.count_if(c & (F.col("shape") == s))
+    whole = [(of(s, tried) > 0) & (of(s, tried & ~good) == 0) for s in ("book", "change")]
+    return checked.groupBy(*by).agg(_if(whole[0] & whole[1]).alias("status"))
 
 
 def rest(presence: DataFrame, depth: DataFrame) -> DataFrame:
