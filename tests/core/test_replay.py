@@ -54,8 +54,9 @@ def frames(spark, rows):
     return typed(books, BOOKS), typed(entries, ENTRY), typed(levels, LEVELS)
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_batch_equals_fold(spark, seed):
+@pytest.mark.parametrize(("seed", "block"), [(1, 64), (2, 3), (3, 1)])
+def test_batch_equals_fold(spark, seed, block, monkeypatch):
+    monkeypatch.setattr(replay, "BLOCK", block)
     rows = feed(seed, 900)
     want = {(w[0]): w[3:8] for w in sequential(rows)}
     fates = replay.replay(*frames(spark, rows)).collect()
@@ -129,3 +130,26 @@ def test_stream_equals_fold_in_any_batches(spark, tmp_path):
     query.awaitTermination(120)
     got = {r.seq: (r.status, r.reason, r.comparison, r.derived_bid, r.derived_ask) for r in spark.table("replayed").collect()}
     assert got == {w[0]: w[3:8] for w in sequential(rows)}
+
+
+def test_late_rows_are_told_and_invalidate():
+    book = Book()
+    first = list(fold(book, [BOOK, entry(5, "BUY", "0.40", "8")]))
+    assert first[0][3:5] == ("applied", None)
+    book = Book(book.dump())
+    late, after = fold(book, [entry(3, "BUY", "0.30", "1"), entry(6, "BUY", "0.30", "2")])
+    assert late[3:5] == ("excluded", "late_row") and after[3:5] == ("excluded", "price_change_without_valid_book")
+    assert next(fold(Book(book.dump()), [BOOK | {"seq": 7}, entry(8, "SELL", "0.60", "0")]))[3] == "applied"
+
+
+def test_a_sessions_end_removes_its_state(spark, tmp_path):
+    ddl = ENTRY.replace("decimal(38,18)", "string") + ", kind string, levels array<struct<side:string,price:string,size:string>>"
+    cols = [c.split()[0] for c in ddl.split(", ")]
+    end = entry(9, None, None, None) | {"kind": "end", "change_index": 0}
+    for i, part in enumerate(([BOOK, entry(1, "BUY", "0.40", "8")], [end], [entry(2, "BUY", "0.40", "7")])):
+        spark.createDataFrame([tuple(r.get(c) for c in cols) for r in part], ddl).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    source = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    query = replay_stream(source).writeStream.format("memory").queryName("ended").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = {r.seq: (r.status, r.reason) for r in spark.table("ended").collect()}
+    assert got == {1: ("applied", None), 2: ("excluded", "price_change_without_valid_book")}  # not late: nothing is left of the session
