@@ -16,7 +16,7 @@ def main() -> None:
     p.add_argument("tokens", nargs="+")
     p.add_argument("--baseline", help="summary document of an earlier run")
     p.add_argument("--json", action="store_true", help="print the summary document instead of the report")
-    p.add_argument("--out", help="write summary.json and report.md below this folder, once, instead of printing")
+    p.add_argument("--out", help="write summary.json (once) and report.md below this folder instead of printing")
     a = p.parse_args()
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     run = {"run_id": a.run_dir.rstrip("/").rsplit("/", 1)[-1], "software": config.provenance()} | config.subscription_metadata(tuple(a.tokens))
@@ -28,7 +28,7 @@ def main() -> None:
     text = report.render(s) + ("\n" + report.compare(before, s) if before else "")
     if a.out:
         evidence.write_once(spark, f"{a.out}/summary.json", s)
-        evidence.write_text_once(spark, f"{a.out}/report.md", text)
+        evidence.write_text(spark, f"{a.out}/report.md", text, replace=True)
     else:
         print(evidence.canonical_text(s) if a.json else text)
 

@@ -17,6 +17,10 @@ GROUP = ["market", "asset_id", "received"]
 SHARES = {"minimum": 0.0, "p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "maximum": 1.0}
 
 
+#: Of the rules that class groups and duplicates; results keep it.
+RULE_VERSION = 1
+
+
 def shard_of(shards: int = 32) -> Column:
     """From market and asset alone, so that an asset never splits."""
     return F.pmod(F.xxhash64("market", "asset_id"), F.lit(shards)).cast("int")
@@ -85,6 +89,18 @@ def classify(rows: DataFrame, levels: DataFrame) -> DataFrame:
     )
 
 
+def duplicates(rows: DataFrame) -> DataFrame:
+    """GROUP, kind (idempotent_book, idempotent_replacement, tick), extra rows and the version of the rules that said so.
+
+    Rows of one group that say the same are duplicates; they are told and kept. Trades are no part of a book and not looked at.
+    """
+    e = F.col("event_type")
+    kind = F.when(e == "book", "idempotent_book").when((e == "price_change") & F.col("ok"), "idempotent_replacement").when(e == "tick_size_change", "tick")
+    said = F.when(e == "book", F.coalesce("book_key", F.lit(""))).when(e == "price_change", F.concat_ws(":", "side", "price", "size")).otherwise(F.col("tick_key"))
+    same = rows.select(*GROUP, kind.alias("kind"), said.alias("said")).where("kind IS NOT NULL").groupBy(*GROUP, "kind", "said").agg((F.count("*") - 1).alias("extra"))
+    return same.where("extra > 0").groupBy(*GROUP, "kind").agg(F.sum("extra").alias("extra")).withColumn("rule_version", F.lit(RULE_VERSION))
+
+
 def pooled(counts: DataFrame, by: str, *measures: Column) -> DataFrame:
     """Measures for each sample, and for all together where by is null."""
     return counts.rollup(by).agg(*measures)

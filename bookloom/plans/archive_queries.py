@@ -37,6 +37,10 @@ def archive_group_classes(spark, d):
     return _groups(spark, d).groupBy("class", "tick_class").agg(F.count("*").alias("groups"), F.sum("books").alias("books"), F.sum("changes").alias("changes"), F.sum("others").alias("others"))
 
 
+def archive_duplicates(spark, d):
+    return archive.duplicates(_rows(spark, d)).groupBy("kind", "rule_version").agg(F.count("*").alias("groups"), F.sum("extra").alias("extra"))
+
+
 def archive_pooled(spark, d):
     rows = _rows(spark, d).withColumn("sample", F.concat(F.lit("h"), (F.hour("received") % 2).cast("string")))
     out = archive.pooled(rows, "sample", F.count("*").alias("rows"), F.count_distinct("asset_id", "received").alias("groups"), F.count_if(F.col("event_type") == "book").alias("books"))
@@ -164,7 +168,7 @@ def walk_depth(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        archive_size_buckets, archive_tied_groups, archive_group_classes, archive_pooled, archive_rows_per_time, archive_source_times, archive_states, archive_durations,
+        archive_size_buckets, archive_tied_groups, archive_group_classes, archive_duplicates, archive_pooled, archive_rows_per_time, archive_source_times, archive_states, archive_durations,
         archive_recoveries, archive_cadence, archive_coverage, archive_plateaus, archive_sort_breaks, archive_diagnostics, archive_pilot_window,
         market_snapshot, metadata_as_of, tick_contradictions, best_signal, sequence_report, capture_integrity, reconciliation, traceability, pick_tokens, walk_depth,
     )
@@ -202,6 +206,13 @@ def _rank_sql(by: str) -> str:
 
 SQL = {
     "archive_size_buckets": f"WITH {_A}, p AS (SELECT asset_id, received, count(*) AS n FROM archive GROUP BY 1, 2) SELECT CASE WHEN n < 5 THEN n::VARCHAR WHEN n < 10 THEN '5-9' WHEN n < 100 THEN '10-99' ELSE '100+' END AS bucket, count(*) AS groups, sum(n)::BIGINT AS rows FROM p GROUP BY 1",
+    "archive_duplicates": f"""WITH {_CLASSES}, said AS (
+  SELECT asset_id, received, CASE event_type WHEN 'book' THEN 'idempotent_book' WHEN 'price_change' THEN 'idempotent_replacement' ELSE 'tick' END AS kind,
+         CASE event_type WHEN 'book' THEN book_key WHEN 'price_change' THEN side || ':' || price || ':' || size ELSE tick_key END AS said
+  FROM r WHERE event_type IN ('book', 'tick_size_change') OR (event_type = 'price_change' AND ok)),
+same AS (SELECT asset_id, received, kind, said, count(*) - 1 AS extra FROM said GROUP BY ALL HAVING count(*) > 1),
+dup AS (SELECT asset_id, received, kind, sum(extra) AS extra FROM same GROUP BY ALL)
+SELECT kind, 1 AS rule_version, count(*) AS groups, sum(extra)::BIGINT AS extra FROM dup GROUP BY 1""",
     "archive_tied_groups": f"WITH {_A}, p AS (SELECT asset_id, received, count(*) AS n, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS composition FROM archive WHERE event_type IN ('book', 'price_change') GROUP BY 1, 2) SELECT composition, count(*) AS groups, sum(n)::BIGINT AS rows FROM p WHERE n > 1 GROUP BY 1",
     "archive_group_classes": f"WITH {_CLASSES} SELECT class, tick_class, count(*) AS groups, sum(books)::BIGINT AS books, sum(changes)::BIGINT AS changes, sum(others)::BIGINT AS others FROM classes GROUP BY 1, 2",
     "archive_pooled": f"""WITH {_A}, s AS (SELECT *, 'h' || (hour(received) % 2) AS sample FROM archive)

@@ -127,8 +127,8 @@ def orderbook_hash(spark, d):
     return found.select(F.col("ingest_sequence").alias("seq"), bookhash.event_hash(F.col("event")).alias("hash"))
 
 
-def _change_hashes(spark, d):
-    f, _, events, changed = fates(spark, d)
+def _change_hashes(spark, d, made=None):
+    f, _, events, changed = made or fates(spark, d)
     found = g.feed_tables(spark, d)[3]
     return replay.change_hashes(replay.hash_points(found, f), changed, replay.hash_books(found, events))
 
@@ -137,20 +137,20 @@ def change_hashes(spark, d):
     return _change_hashes(spark, d).select("seq", "asset_id", F.col("computed").alias("hash"))
 
 
-def _checked(spark, d):
-    """Digests of books and changes against observed ones; one in 7,919 is another."""
+def checked(spark, d, made=None):
+    """Digests of books and changes against observed ones; one in 7,919 is another. made: as of fates()."""
     books = g.feed_tables(spark, d)[3].where("code IS NULL AND event_type = 'book'").join(g.feed_parts(spark, d)[0].where("code IS NULL").select("session_id", "seq", "event_index"), ["session_id", "seq", "event_index"])
     both = books.select("session_id", "seq", F.lit("book").alias("shape"), bookhash.event_hash(F.col("event")).alias("computed"))
-    both = both.unionByName(_change_hashes(spark, d).select("session_id", "seq", F.lit("change").alias("shape"), "computed"))
+    both = both.unionByName(_change_hashes(spark, d, made).select("session_id", "seq", F.lit("change").alias("shape"), "computed"))
     return both.withColumn("observed", F.when(F.col("seq") / 10 % 7919 != 0, F.col("computed")).otherwise("h"))
 
 
 def hash_checks(spark, d):
-    return replay.hash_counters(_checked(spark, d))
+    return replay.hash_counters(checked(spark, d))
 
 
 def hash_verdicts(spark, d):
-    return verdicts.hash_status(_checked(spark, d), ("session_id",))
+    return verdicts.hash_status(checked(spark, d), ("session_id",))
 
 
 def entry_histogram(spark, d):
@@ -194,9 +194,9 @@ def first_state_events(spark, d):
     return timing.first_state_events(rows, grid).fillna(-1)
 
 
-def rest_rows(spark, d):
+def rest_rows(spark, d, made=None):
     """Snapshots of the feed's state after every 13th event, some with another depth or an unstable window."""
-    f, books, numbered, changed = fates(spark, d)
+    f, books, numbered, changed = made or fates(spark, d)
     reads = g.feed(spark, d).where("eid % 13 = 0").select("eid", "session_id", "asset_id", (F.col("seq") + 5).alias("seq"))
     state = numbered.select("session_id", "asset_id", "seq", "epoch", "n")
     reads = rest.as_of(reads, state, ["session_id", "asset_id"], "seq", ["epoch", "n"])

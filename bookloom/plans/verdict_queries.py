@@ -14,7 +14,8 @@ from . import verdicts as v
 
 
 def run_verdicts(spark, d):
-    f, books, reads, match = q.rest_rows(spark, d)
+    made = q.fates(spark, d)
+    f, books, reads, match = q.rest_rows(spark, d, made)
     found = frames.events(g.feed_frames(spark, d))
     book_events = found.where("code IS NULL AND event_type = 'book'")
     first = q.first_state_events(spark, d)
@@ -27,7 +28,7 @@ def run_verdicts(spark, d):
     fields = rest.field_presence(reads.withColumn("code", F.lit(None).cast("string")).withColumn("fields", F.array(*map(F.lit, ("hash", "tick_size", "min_order_size", "neg_risk", "last_trade_price")))))
     parts = [
         v.schema(frames.event_counts(found), q.ordering_fields(spark, d)), v.reconnect(sessions, first), v.updates(counters, validated, named), v.repeats(q.repeat_counters(spark, d)),
-        v.hashes(q._checked(spark, d)), v.rest(fields, reads.join(match, "rest_id", "left")), v.metadata(presence, BOOK_METADATA), v.times(q.source_order(spark, d), q.receive_order(spark, d)),
+        v.hashes(q.checked(spark, d, made)), v.rest(fields, reads.join(match, "rest_id", "left")), v.metadata(presence, BOOK_METADATA), v.times(q.source_order(spark, d), q.receive_order(spark, d)),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -102,10 +102,10 @@ def canonical_text(value) -> str:
     return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
 
 
-def write_text_once(spark: SparkSession, path: str, text: str) -> None:
-    """A small text as one file in any store that Spark reaches; one that exists is refused, never replaced."""
+def write_text(spark: SparkSession, path: str, text: str, replace: bool = False) -> None:
+    """A small text as one file in any store that Spark reaches; one that exists is refused unless it may be replaced."""
     p, fs = _path(spark, path)
-    out = fs.create(p, False)
+    out = fs.create(p, replace)
     try:
         out.write(bytearray(text.encode("utf-8")))
     finally:
@@ -113,7 +113,7 @@ def write_text_once(spark: SparkSession, path: str, text: str) -> None:
 
 
 def write_once(spark: SparkSession, path: str, value) -> None:
-    write_text_once(spark, path, canonical_text(value) + "\n")
+    write_text(spark, path, canonical_text(value) + "\n")
 
 
 @dataclass
@@ -166,7 +166,7 @@ class EvidenceRun:
         if summary is not None:
             write_once(self.spark, f"{self.path}/summary.json", summary)
         if report is not None:
-            write_text_once(self.spark, f"{self.path}/report.md", report)
+            write_text(self.spark, f"{self.path}/report.md", report)
         return found
 
 
@@ -190,6 +190,42 @@ def read_archive(spark: SparkSession, path: str, columns: list[str] | None = Non
     return found.select(*columns) if columns else found
 
 
+def file_provenance(spark: SparkSession, rows: DataFrame, time: str, asked: dict[str, str] | None = None) -> DataFrame:
+    """file, bytes, modified, sha256, rows, first and last time, schema of each file that a scan reads; asked: what was
+    asked for by file name, where another file took its place. rows: straight from a reader."""
+    per = rows.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file")).agg(
+        F.max("_metadata.file_size").alias("bytes"), F.max("_metadata.file_modification_time").alias("modified"), F.count("*").alias("rows"), F.min(time).alias("first"), F.max(time).alias("last"),
+    )
+    requested = F.element_at(F.create_map(*(F.lit(x) for pair in asked.items() for x in pair)), F.col("file")) if asked else F.lit(None).cast("string")
+    folders = sorted({r["path"].rsplit("/", 1)[0] for r in per.select("path").collect()})  # names of files
+    digests = None
+    for folder in folders:
+        one = manifest(spark, folder).where(~F.col("file").contains("/")).select("file", "sha256")
+        digests = one if digests is None else digests.unionByName(one)
+    out = per.drop("path").withColumns({"requested": requested, "schema": F.lit(rows.schema.json())})
+    return out.join(digests, "file", "left") if digests is not None else out.withColumn("sha256", F.lit(None).cast("string"))
+
+
+#: Parts of a vendor's sample bundle, and how a file's ending is read.
+BUNDLE = ("raw", "l1", "l2", "trades")
+READERS = {"parquet": "parquet", "jsonl": "json", "json": "json", "csv": "csv"}
+
+
+def read_bundle(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The parts that a local vendor bundle holds, by folder name, each with its file; nothing is downloaded."""
+    if "://" in root and not root.startswith("file:"):
+        raise PermissionError("a vendor bundle is read from a local path only")
+    p, fs = _path(spark, root)
+    found = {}
+    for name in BUNDLE:
+        for ending, reader in READERS.items():
+            if files := [s.getPath().toString() for s in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(p, f"{name}/*.{ending}")) or ()]:
+                rows = spark.read.option("header", "true").format(reader).load(files)
+                found[name] = rows.select("*", F.col("_metadata.file_name").alias("source_file"), F.lit(name).alias("source_part"))
+                break
+    return found
+
+
 def schema_drift(df: DataFrame, expected: str = ARCHIVE) -> list[tuple[str, str | None, str | None]]:
     """column, expected type, observed type of each that differs; unknown columns are told, not dropped."""
     spark = df.sparkSession

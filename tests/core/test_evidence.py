@@ -249,3 +249,23 @@ def test_reports_are_stable_and_read_older_documents():
     assert "| q1 | CONFIRMED | CONTRADICTED | CONFIRMED -> CONTRADICTED |" in both and "| q2 | UNRESOLVED | UNRESOLVED | UNCHANGED |" in both and "UNRESOLVED -> CONFIRMED" in both and "left out" in both
     with pytest.raises(TypeError):
         report.compare({}, s)
+
+
+def test_bundles_and_their_files(spark, tmp_path):
+    rows = spark.range(20).selectExpr("id", "timestamp_seconds(id) AS ts_event")
+    rows.coalesce(1).write.parquet(str(tmp_path / "b/l2"))
+    rows.coalesce(1).write.option("header", "true").csv(str(tmp_path / "b/trades"))
+    (tmp_path / "b/raw").mkdir()
+    (tmp_path / "b/raw/x.jsonl").write_text('{"msg_seq":1}\n{"msg_seq":3}\n')
+    got = evidence.read_bundle(spark, str(tmp_path / "b"))
+    assert {k: v.count() for k, v in got.items()} == {"raw": 2, "l2": 20, "trades": 20}
+    assert got["raw"].select("source_file", "source_part").distinct().collect() == [("x.jsonl", "raw")]
+    with pytest.raises(PermissionError):
+        evidence.read_bundle(spark, "https://h/b")
+    scan = spark.read.parquet(str(tmp_path / "b/l2"))
+    name = next(p.name for p in (tmp_path / "b/l2").glob("*.parquet"))
+    (r,) = evidence.file_provenance(spark, scan, "ts_event", {name: "hour 5"}).collect()
+    import hashlib
+
+    assert (r.file, r.rows, r.requested, r.sha256) == (name, 20, "hour 5", hashlib.sha256((tmp_path / "b/l2" / name).read_bytes()).hexdigest())
+    assert r.bytes == (tmp_path / "b/l2" / name).stat().st_size and "ts_event" in r.schema and r["first"] < r["last"]
