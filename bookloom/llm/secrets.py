@@ -1,22 +1,25 @@
 """Secret scans through an incremental blob ledger.
 
 Every version of a text is a blob named by the SHA-256 of its content. The ledger says which rule
-versions have seen which blob; a scan reads only the blobs that some rule version has not seen, once
-each, however many paths hold them, and findings are joined back to all paths.
-
-Defined results: a null text is the empty text; repeated paths and copies keep a row each; an empty
-table gives an empty result; other columns of the input, whatever their names, are ignored.
+versions have seen which blob; a scan reads only the blobs that some rule version has not seen, by the text
+of one path however many hold them, and findings are joined back to all paths. scan_into() keeps the ledger as
+Parquet: what a scan adds is a new part, and the next scan, of the same versions, of later ones or with other
+rule versions, reads it first.
+
+Defined results: a null text is the empty text; repeated paths and copies keep a row each; a text of any length is
+scanned whole; equal spans are told once; an empty table gives an empty result; other columns of the input,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .spans import digest_text, find_spans
-from .storage import materialize
+from .storage import fresh_path, is_there, materialize
 
 _ASSIGN = (
     "([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]"
@@ -83,7 +86,7 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules=RULE
             .select("blob", "path", F.array_except(todo, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo"))
             .where(F.size("todo") > 0)
         )
-    chosen = chosen.select(F.col("path").alias("at"), F.col("blob").alias("name"), "todo").hint("shuffle_hash")
+    chosen = chosen.select(F.col("path").alias("at"), F.col("blob").alias("name"), "todo")
     texts = versions.join(chosen, F.col("path").eqNullSafe(F.col("at")) & (F.col("blob") == F.col("name")))
 
     def result(rule: Rule) -> Column:
@@ -91,7 +94,22 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules=RULE
         return F.when(F.array_contains("todo", rule.key), found)
 
     scanned = F.filter(F.array(*map(result, rules)), lambda r: r.isNotNull()).cast(RESULTS)
-    return texts.select("blob", scanned.alias("results"))
+    # a row for each blob, also where a path's row is there many times
+    return texts.select("blob", scanned.alias("results")).groupBy("blob").agg(F.first("results").alias("results"))
+
+
+LEDGER = f"blob string, results {RESULTS}"
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    return spark.read.schema(LEDGER).parquet(path) if is_there(spark, path) else None
+
+
+def scan_into(versions: DataFrame, path: str, rules=RULES) -> DataFrame:
+    """The ledger at path, after what it lacked of these versions is scanned and added."""
+    spark = versions.sparkSession
+    scan_unseen(versions, read_ledger(spark, path), rules).write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
 
 
 def findings(versions: DataFrame, ledger: DataFrame, rules=RULES) -> DataFrame:
@@ -128,9 +146,9 @@ def findings(versions: DataFrame, ledger: DataFrame, rules=RULES) -> DataFrame:
 
 
 def scan_digests(documents: DataFrame) -> DataFrame:
-    """The digest columns of the query, through an empty ledger."""
+    """The digest columns of the query, through a ledger that starts empty."""
     versions = blobs(documents)
-    found = findings(versions, scan_unseen(versions))
+    found = findings(versions, scan_into(versions, fresh_path(documents.sparkSession, "ledger")))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
         F.col("path").alias("doc_id"),

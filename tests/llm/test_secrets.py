@@ -52,3 +52,20 @@ def test_odd_rows(odd_documents, no_documents):
     out = secrets.scan_digests(odd_documents)
     assert out.count() == odd_documents.count() and out.where("n_assign > 0").count() == 2
     assert secrets.scan_digests(no_documents).count() == 0
+
+
+def test_a_stored_ledger_is_read_first(spark, tmp_path):
+    rule = secrets.RULES
+    path = str(tmp_path / "ledger")
+    first = secrets.blobs(spark.createDataFrame([(1, "password=hunter22"), (2, "password=hunter22"), (2, "password=hunter22"), (3, "x")], "doc_id long, text string"))
+    assert secrets.scan_into(first, path).count() == 2
+    later = secrets.blobs(spark.createDataFrame([(1, "password=hunter22 now"), (2, "password=hunter22"), (3, None)], "doc_id long, text string"))
+    new = secrets.scan_unseen(later, secrets.read_ledger(spark, path))
+    assert new.count() == 2  # one version of a path, and the empty text
+    ledger = secrets.scan_into(later, path)
+    assert ledger.count() == 4 and secrets.scan_into(later, path).count() == 4
+    changed = (*rule[:-1], secrets.Rule("jwt", 2, rule[-1].pattern, base=False))
+    again = secrets.scan_unseen(later, ledger, changed)
+    assert {tuple(x.rule for x in r.results) for r in again.collect()} == {("jwt/2",)}
+    got = {r.path: [s.kind for s in r.spans] for r in secrets.findings(later, ledger).collect()}
+    assert got == {1: ["assign"], 2: ["assign"], 3: []}
