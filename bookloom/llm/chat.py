@@ -5,9 +5,10 @@ the hash selects the mapping (prompt, instruction and message layouts). Canonica
 with a template that escapes its control strings inside texts reversibly and says which code points
 carry loss.
 
-Defined results: null texts and roles are empty; turns of equal number are ordered by role, then text;
-records of an unknown layout keep a row without turns and with layout null; an empty table gives an
-empty result; fields that no mapping knows are ignored.
+Defined results: null texts and roles are empty; turns of equal number are ordered by role, then text; repeated rows
+are a turn each; a text of any length is kept whole, and a conversation is one row; records of an unknown layout
+keep a row without turns and with layout null (the columns layout and turns of records are the mapping's); an empty
+table gives an empty result; fields that no mapping knows are ignored.
 """
 
 from __future__ import annotations
@@ -57,8 +58,26 @@ LAYOUTS = (
     Layout("instruction", ("instruction", "output"), "instruction string, output string", _pair("r.instruction", "r.output")),
     Layout("instruction_input", ("instruction", "input", "output"), "instruction string, input string, output string", _pair("CASE WHEN coalesce(r.input, '') = '' THEN r.instruction ELSE concat(coalesce(r.instruction, ''), '\\n', r.input) END", "r.output")),
 )
-#: The layout of tables with a row per turn.
-TURN_ROWS = ("conv_id", "turn", "role", "text")
+
+
+@dataclass(frozen=True)
+class RowLayout:
+    """Of tables with a row per turn: the columns that are conversation, turn, role and text, and SQL of the role."""
+
+    name: str
+    paths: tuple[str, str, str, str]
+    role: str = "{0}"
+
+    @property
+    def fingerprint(self) -> str:
+        return fingerprint_of(self.paths)
+
+
+ROW_LAYOUTS = (
+    RowLayout("turn_rows", ("conv_id", "turn", "role", "text")),
+    RowLayout("message_rows", ("conversation_id", "message_index", "role", "content")),
+    RowLayout("shared_rows", ("id", "turn", "from", "value"), _ROLE),
+)
 
 
 def schema_paths(kind, prefix: str = "") -> list[str]:
@@ -78,7 +97,9 @@ def fingerprint(json: Column) -> Column:
     keys = lambda part: F.coalesce(F.json_object_keys(part), F.array().cast("array<string>"))
 
     def below(name: str) -> Column:
-        return F.transform(keys(F.get_json_object(json, f"$.{name}[0]")), lambda k: F.concat(F.lit(f"{name}[]."), k))
+        """Of every element, so that it doesn't matter which one is first or has all fields."""
+        items = F.coalesce(F.from_json(F.get_json_object(json, f"$.{name}"), "array<string>"), F.array().cast("array<string>"))
+        return F.transform(F.array_distinct(F.flatten(F.transform(items, keys))), lambda k: F.concat(F.lit(f"{name}[]."), k))
 
     paths = F.concat(keys(json), *map(below, lists))
     return F.substring(F.sha2(F.array_join(F.array_sort(F.array_intersect(paths, known)), "\n"), 256), 1, 16)
@@ -86,25 +107,29 @@ def fingerprint(json: Column) -> Column:
 
 def canonical_records(records: DataFrame, json: str) -> DataFrame:
     """records with layout and turns (TURNS) of the JSON column."""
-    out = records.withColumn("_fp", fingerprint(F.col(json)))
+    out = records.withColumn("__bl_fp", fingerprint(F.col(json)))
     layout, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
     for x in LAYOUTS:
-        hit = F.col("_fp") == x.fingerprint
+        hit = F.col("__bl_fp") == x.fingerprint
         layout = F.when(hit, x.name).otherwise(layout)
         turns = F.when(hit, F.expr(x.turns.replace("r.", f"from_json(`{json}`, '{x.schema}').")).cast(TURNS)).otherwise(turns)
-    return out.withColumns({"layout": layout, "turns": turns}).drop("_fp")
+    return out.withColumns({"layout": layout, "turns": turns}).drop("__bl_fp")
 
 
 def canonical_rows(rows: DataFrame) -> DataFrame:
-    """conv_id, layout and turns of a table with a row per turn, if its field paths are those of TURN_ROWS."""
-    known = [p for p in schema_paths(rows.schema) if p in TURN_ROWS]
-    if fingerprint_of(known) != fingerprint_of(TURN_ROWS):
-        raise ValueError(f"no mapping has the fingerprint of {sorted(known)}")
-    blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    turns = F.array_sort(F.collect_list(F.struct("turn", blank("role"), blank("text"))))
-    return rows.groupBy("conv_id").agg(turns.alias("turns")).select(
+    """conv_id, layout and turns of a table with a row per turn: the fingerprint of its field paths selects the mapping
+    of its columns; paths that no row layout knows are ignored."""
+    paths = set(schema_paths(rows.schema))
+    found = [x for x in ROW_LAYOUTS if fingerprint_of(paths & set(x.paths)) == x.fingerprint]
+    if not found:
+        raise ValueError(f"no row layout has the fingerprint of {sorted(paths)}")
+    x = max(found, key=lambda x: len(x.paths))
+    blank = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    conv, turn, role, text = x.paths
+    turns = F.array_sort(F.collect_list(F.struct(F.col(f"`{turn}`").alias("turn"), F.expr(x.role.format(f"coalesce(cast(`{role}` AS string), '')")).alias("role"), blank(text).alias("text"))))
+    return rows.groupBy(F.col(f"`{conv}`").alias("conv_id")).agg(turns.alias("turns")).select(
         "conv_id",
-        F.lit("turn_rows").alias("layout"),
+        F.lit(x.name).alias("layout"),
         F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).cast(TURNS).alias("turns"),
     )
 
@@ -137,14 +162,14 @@ def render(records: DataFrame, trained: str = "assistant") -> DataFrame:
         return F.struct((end + len(END)).alias("at"), F.concat(a["all"], own).alias("all"))
 
     start = F.struct(F.lit(len(BEGIN)).alias("at"), F.array().cast(spans).alias("all"))
-    whole = F.array_join(F.transform("_parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
+    whole = F.array_join(F.transform("__bl_parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
     return (
-        records.withColumn("_parts", parts)
+        records.withColumn("__bl_parts", parts)
         .withColumns({
             "formatted": F.concat(F.lit(BEGIN), whole, F.lit(CLOSE)),
-            "loss_spans": F.aggregate("_parts", start, step, lambda a: a["all"]),
+            "loss_spans": F.aggregate("__bl_parts", start, step, lambda a: a["all"]),
         })
-        .drop("_parts")
+        .drop("__bl_parts")
     )
 
 
@@ -176,15 +201,15 @@ def format_digests(conversations: DataFrame) -> DataFrame:
     )
     records = canonical_rows(conversations).unionByName(canonical_records(probe, "json").drop("json"))
     out = render(records).select("conv_id", "formatted", "loss_spans").withColumns({
-        "_turns": parse(F.col("formatted")),
-        "_loss": loss_text(F.col("formatted"), F.col("loss_spans")),
+        "__bl_turns": parse(F.col("formatted")),
+        "__bl_loss": loss_text(F.col("formatted"), F.col("loss_spans")),
     })
-    lines = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    lines = F.array_join(F.transform("__bl_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id",
-        F.size("_turns").cast("long").alias("n_turns"),
+        F.size("__bl_turns").cast("long").alias("n_turns"),
         F.sha2(lines, 256).alias("turns_sha256"),
-        F.length("_loss").cast("long").alias("loss_chars"),
-        F.sha2("_loss", 256).alias("loss_sha256"),
+        F.length("__bl_loss").cast("long").alias("loss_chars"),
+        F.sha2("__bl_loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )

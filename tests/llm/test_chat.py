@@ -1,6 +1,8 @@
 import hashlib
 import json
 
+import pytest
+
 from bookloom.llm import chat
 from pyspark.sql import functions as F
 
@@ -45,3 +47,19 @@ def test_fingerprints_choose_mappings(spark):
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert [r.conv_id for r in chat.format_digests(empty).collect()] == [-7]
+
+
+def test_layouts_whose_first_elements_differ(spark):
+    records = ['{"messages":[{"role":"user"},{"role":"assistant","content":"b"}]}', '{"conversations":[{"from":"human","value":"a"},{"value":"b"}]}', '{"messages":[]}', "no json"]
+    df = spark.createDataFrame(list(enumerate(records)), "conv_id int, json string").withColumn("__x", F.lit(1))
+    got = {r.conv_id: (r.layout, [(t.role, t.text) for t in r.turns or []]) for r in chat.canonical_records(df, "json").collect()}
+    assert got[0] == ("messages", [("user", None), ("assistant", "b")]) and got[1] == ("shared", [("user", "a"), (None, "b")])
+    assert got[2][0] is None and got[3][0] is None
+
+
+def test_row_layouts_are_chosen_by_their_columns(spark):
+    rows = spark.createDataFrame([("c", 1, "gpt", "hi", 0), ("c", 0, "human", None, 0)], "id string, turn int, `from` string, value string, extra int")
+    (r,) = chat.canonical_rows(rows).collect()
+    assert (r.conv_id, r.layout, [(t.role, t.text) for t in r.turns]) == ("c", "shared_rows", [("user", ""), ("assistant", "hi")])
+    with pytest.raises(ValueError, match="no row layout"):
+        chat.canonical_rows(rows.drop("value"))
