@@ -10,8 +10,8 @@ bounded memory on the driver; every document is scored from its whole text.
 
 Defined results: null, empty and word-free texts have all features 0 and are scored like any text; with no
 labelled rows, or labels of one kind, every score is the smoothed share of label 1 (one half without
-rows); labels that are null are left out, labels of one id count each; repeated rows keep a row each; an
-empty table gives an empty result; other columns of documents, whatever their names, are never read.
+rows); labels that are null are left out, labels of one id count each; repeated rows keep a row each; a text of any
+length is read whole; an empty table gives an empty result; other columns of documents, whatever their names, are never read.
 """
 
 from __future__ import annotations
@@ -181,13 +181,15 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", most:
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.select("doc_id", F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
     # at most `most` rows of two numbers
-    rows = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("y", "text")
+    rows = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("y", "text", F.xxhash64("doc_id").alias("by"))
 
     def run(batches):
-        for y, x in _feature_rows(batches):
-            yield pa.record_batch([y, pa.FixedSizeListArray.from_arrays(x.ravel(), len(FEATURES)).cast(pa.list_(pa.float64()))], names=["y", "x"])
+        for b in batches:
+            x = np.array([features(t.as_py()) for t in b.column(1)]).reshape(-1, len(FEATURES))
+            yield pa.record_batch([b.column(0), pa.FixedSizeListArray.from_arrays(x.ravel(), len(FEATURES)).cast(pa.list_(pa.float64())), b.column(2)], names=["y", "x", "by"])
 
-    got = rows.mapInArrow(run, "y int, x array<double>").toArrow()
+    # an id may have many documents: the bound holds for rows, too
+    got = rows.mapInArrow(run, "y int, x array<double>, by long").orderBy("by", "y", "x").limit(most).toArrow()
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
     y = got.column("y").to_numpy().astype(float)
     order = np.lexsort([*x.T, y])  # the order in which tasks end must not count
