@@ -3,14 +3,17 @@
 Patterns propose spans: the base kinds (email, ip, card, phone; what passes their checks is a base span
 and always stays) and weaker ones (numbers like social security and local phone numbers, titled names).
 Five labelers vote on each proposal (+1, -1, or 0 to abstain): shape, gazetteer, context, edges, length.
-Expectation-maximisation over the counts of vote patterns estimates how far each labeler can be trusted,
-and its posteriors train a logistic span classifier, which decides on proposals that aren't base spans.
+Expectation-maximisation over the counts of vote patterns estimates how far each labeler can be trusted.
+Its posteriors train a logistic span classifier that sees the votes and, besides them, traits of the span that no
+labeler votes on: what stands right before and after it, and into how many groups its digits fall. So spans of equal
+votes may be decided differently. It decides on proposals that aren't base spans.
 
-All work on texts is in SQL functions; the driver gets only counts of vote patterns, at most
-3 ** 5 for each of the seven kinds.
+All work on texts is in SQL functions; the driver gets only counts of patterns of votes and traits, at most
+3 ** 5 * 4 * 4 * 5 for each of the seven kinds, whatever the corpus.
 
-Defined results: a null text is empty; repeated rows keep a row each; an empty table gives an empty
-result; digest columns ignore other columns, redact() keeps them.
+Defined results: a null text is empty; a text of any length is searched whole; repeated rows keep a row each; where
+spans of one kind could overlap the leftmost stands; an empty table gives an empty result; digest columns ignore
+other columns, redact() keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from math import exp, log
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,16 +72,23 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: F.length(_digits(m)).between(9, 15), lambda m: m.rlike(r"^\+(?:" + "|".join(CALLING) + ")"), (10, 20), "tel|phone|call|mobile|fax"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), lambda m: F.lit(None).cast("boolean"), (11, 11), "ssn|social|security|tax", base=False),
     Kind("local_phone", r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])", lambda m: m.rlike(r"^\(?[2-9]"), lambda m: F.lit(None).cast("boolean"), (12, 14), "tel|phone|call|mobile|fax", base=False),
-    Kind("person", r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau)\.?\x20[A-Z][a-z]{1,30}+(?:\x20[A-Z][a-z]{1,30}+)?", lambda m: m.rlike(r"^\w+\.?\x20\w+\x20\w+$"), lambda m: m.rlike("(?:" + "|".join(NAMES) + ")"), (8, 40), "name|dear|sign|contact|author", base=False),
+    Kind("person", r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau)\.?\x20[A-Z][a-z]{1,30}+(?:\x20[A-Z][a-z]{1,30}+)?", lambda m: m.rlike(r"^\w+\.?\x20\w+\x20\w+$"), lambda m: m.rlike(r"\b(?:" + "|".join(NAMES) + r")\b"), (8, 40), "name|dear|sign|contact|author", base=False),
 )
 _RANK = {k.name: i for i, k in enumerate(KINDS)}
-_PROPOSALS = "array<struct<rank:int,start:int,end:int,kind:string,base:boolean,votes:array<int>>>"
+_PROPOSALS = "array<struct<rank:int,start:int,end:int,kind:string,base:boolean,votes:array<int>,traits:array<int>>>"
+#: Traits of a span and how many values each has: the character before and after it (none, blank, letter or digit, other)
+#: and groups of digits (0 to 3, more).
+TRAITS = (("before", 4), ("after", 4), ("groups", 5))
 
 
 def _vote(yes: Column) -> Column:
     return F.when(yes.isNull(), 0).when(yes, 1).otherwise(-1)
 
 
+def _beside(c: Column) -> Column:
+    return F.when(F.length(c) == 0, 0).when(c.rlike(r"\s"), 1).when(c.rlike(r"\w"), 2).otherwise(3)
+
+
 def proposals(text: Column) -> Column:
     """_PROPOSALS of a text, by kind as listed, then start."""
 
@@ -97,6 +108,7 @@ def proposals(text: Column) -> Column:
             return F.struct(
                 F.lit(_RANK[k.name]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"),
                 F.lit(k.name).alias("kind"), (ok if k.base else F.lit(False)).alias("base"), votes.alias("votes"),
+                F.array(_beside(F.right(before, F.lit(1))), _beside(after), F.least(F.regexp_count(m, F.lit("[0-9]+")), F.lit(4))).alias("traits"),
             )
 
         return F.transform(find_spans(text, k.pattern), one).cast(_PROPOSALS)
@@ -106,14 +118,20 @@ def proposals(text: Column) -> Column:
 
 @dataclass
 class Classifier:
-    """Log-odds that a proposal is personal data: bias of its kind plus weight times vote for each labeler."""
+    """Log-odds that a proposal is personal data: bias of its kind, weight times vote for each labeler, and a weight for
+    each value of each trait."""
 
     bias: dict[str, float] = field(default_factory=lambda: {k.name: 0.0 for k in KINDS})
     weights: list[float] = field(default_factory=lambda: [1.0] * len(LABELERS))
+    traits: list[list[float]] = field(default_factory=lambda: [[0.0] * n for _, n in TRAITS])
 
     def accepts(self, p: Column) -> Column:
-        bias = F.element_at(F.create_map(*(F.lit(x) for k in KINDS for x in (k.name, float(self.bias[k.name])))), p["kind"])
-        return sum((F.element_at(p["votes"], i + 1) * float(w) for i, w in enumerate(self.weights)), bias) >= 0.0
+        odds = F.element_at(F.create_map(*(F.lit(x) for k in KINDS for x in (k.name, float(self.bias[k.name])))), p["kind"])
+        for i, w in enumerate(self.weights):
+            odds = odds + F.element_at(p["votes"], i + 1) * float(w)
+        for i, table in enumerate(self.traits):
+            odds = odds + F.element_at(F.array(*(F.lit(float(w)) for w in table)), F.element_at(p["traits"], i + 1) + 1)
+        return odds >= 0.0
 
 
 def expect(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 25) -> list[float]:
@@ -140,32 +158,44 @@ def expect(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 25) -
     return post
 
 
-def train(patterns: list[tuple[str, tuple[int, ...], int]], steps: int = 300, rate: float = 0.5) -> Classifier:
-    """The logistic classifier of the posteriors; counts weigh by their logarithm, so that rare patterns tell too."""
+Pattern = tuple[str, tuple[int, ...], tuple[int, ...], int]
+
+
+def train(patterns: list[Pattern], steps: int = 300, rate: float = 0.5) -> Classifier:
+    """The logistic classifier of the posteriors, from (kind, votes, traits, count); counts weigh by their logarithm, so
+    that rare patterns tell too."""
     c = Classifier()
     if not patterns:
         return c
-    post = expect(patterns)
-    weigh = [log(1.0 + n) for _, _, n in patterns]
-    whole = sum(weigh)
+    by_votes: dict[tuple[str, tuple[int, ...]], int] = {}
+    for kind, votes, _, n in patterns:
+        by_votes[kind, votes] = by_votes.get((kind, votes), 0) + n
+    told = sorted((k, v, n) for (k, v), n in by_votes.items())
+    post = {(k, v): p for (k, v, _), p in zip(told, expect(told), strict=True)}
+    y = np.array([post[k, v] for k, v, _, _ in patterns])
+    w = np.log1p([n for *_, n in patterns])
+    w = w / w.sum()
+    # columns: kinds, labelers, then every value of every trait
+    first = np.cumsum([len(KINDS) + len(LABELERS), *(n for _, n in TRAITS)])
+    x = np.zeros((len(patterns), first[-1]))
+    for i, (kind, votes, traits, _) in enumerate(patterns):
+        x[i, _RANK[kind]] = 1
+        x[i, len(KINDS) : first[0]] = votes
+        x[i, [f + t for f, t in zip(first, traits, strict=False)]] = 1
+    theta = np.zeros(x.shape[1])
+    theta[len(KINDS) : first[0]] = 1.0
     for _ in range(steps):
-        db, dw = dict.fromkeys(c.bias, 0.0), [0.0] * len(LABELERS)
-        for (kind, votes, _), y, w in zip(patterns, post, weigh, strict=True):
-            z = c.bias[kind] + sum(a * v for a, v in zip(c.weights, votes, strict=True))
-            e = w * (y - 1 / (1 + exp(-max(-30.0, min(30.0, z))))) / whole
-            db[kind] += e
-            for i, v in enumerate(votes):
-                dw[i] += e * v
-        for k, e in db.items():
-            c.bias[k] += rate * e
-        c.weights = [a + rate * e for a, e in zip(c.weights, dw, strict=True)]
+        theta += rate * (w * (y - 1 / (1 + np.exp(-(x @ theta).clip(-30, 30))))) @ x
+    c.bias = {k.name: float(theta[i]) for i, k in enumerate(KINDS)}
+    c.weights = theta[len(KINDS) : first[0]].tolist()
+    c.traits = [theta[f : f + n].tolist() for f, (_, n) in zip(first, TRAITS, strict=False)]
     return c
 
 
 def learn(proposed: DataFrame) -> Classifier:
-    """From the column proposals: only counts of vote patterns come to the driver."""
-    counts = proposed.select(F.explode("proposals").alias("p")).groupBy("p.kind", "p.votes").count()
-    return train(sorted((r["kind"], tuple(r["votes"]), r["count"]) for r in counts.collect()))
+    """From the column proposals: only counts of patterns come to the driver."""
+    counts = proposed.select(F.explode("proposals").alias("p")).groupBy("p.kind", "p.votes", "p.traits").count()
+    return train(sorted((r["kind"], tuple(r["votes"]), tuple(r["traits"]), r["count"]) for r in counts.collect()))
 
 
 def decided(found: Column, classifier: Classifier) -> Column:
@@ -200,6 +230,7 @@ def redact(documents: DataFrame) -> DataFrame:
     Where spans overlap, the one that starts first names the replacement. Texts without spans stay as they are.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
+    # texts are searched twice, for learning and for deciding: keeping what was found with its rows would take their room again
     learned = learn(documents.select(proposals(text).alias("proposals")))
     spans = F.array_sort(F.transform(decided(proposals(text), learned), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["kind"].alias("kind"))))
     out = documents.withColumn("__bl_spans", spans)

@@ -60,3 +60,19 @@ def test_redact(spark, odd_documents, no_documents):
     df = spark.createDataFrame([(1, "a@b.co, 1.2.3.4; x")], "doc_id long, text string")
     assert pii.redact(df).select("text").first()[0] == "<EMAIL>, <IP>; x"
     assert pii.span_digests(odd_documents).where(F.col("doc_id").isNull()).first().spans == ""
+
+
+def test_traits_decide_where_votes_do_not():
+    """What stands beside spans of good votes speaks for others of the same surroundings."""
+    good, bad, open_ = (1, 1, 1, 1, 1), (-1, -1, 0, -1, -1), (1, 0, 0, -1, 1)
+    patterns = [("ssn", good, (1, 1, 3), 500), ("ssn", bad, (2, 2, 1), 500), ("ssn", open_, (1, 1, 3), 9), ("ssn", open_, (2, 2, 1), 9)]
+    c = pii.train(patterns)
+    odds = lambda votes, traits: c.bias["ssn"] + sum(w * v for w, v in zip(c.weights, votes, strict=True)) + sum(t[x] for t, x in zip(c.traits, traits, strict=True))
+    assert odds(good, (1, 1, 3)) > 0 > odds(bad, (2, 2, 1)) and odds(open_, (1, 1, 3)) > odds(open_, (2, 2, 1))
+    assert [len(t) for t in c.traits] == [n for _, n in pii.TRAITS]
+
+
+def test_traits_of_spans(spark):
+    df = spark.createDataFrame([("123-45-6789, x(212) 555-0199",)], "text string")
+    got = {p.kind: p.traits for p in df.select(pii.proposals(F.col("text")).alias("p")).first().p}
+    assert got["ssn"] == [0, 3, 3] and got["local_phone"] == [2, 0, 3]
