@@ -4,9 +4,10 @@ decode() reads any GIF87a/89a: global and local palettes, interlacing, graphic c
 disposal, transparency) and LZW streams of 2 to 12 bit codes with clear codes anywhere. encode() writes
 grey frames losslessly as real LZW streams.
 
-Defined results: a null text is empty and stores one frame of filler; a file that isn't a GIF raises
-ValueError in decode() and gives no frames and an error text in frames(); a stream that ends early
-leaves the rest of its frame at index 0; an empty table gives an empty result.
+Defined results: a null text is empty and stores one frame of filler; a text of any length is one file; repeated rows
+keep a row each; a file that isn't a GIF, has a code that its table lacks, or a screen of more than MOST_PIXELS raises
+ValueError in decode() and gives no further frames and an error text in frames(); a stream that ends early
+leaves the rest of its frame at index 0; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 SIDE = 24
 TILE = SIDE * SIDE
 FULL = 4096
+#: A screen, and a frame, of more pixels is refused: its size is what the file says, not what it holds.
+MOST_PIXELS = 1 << 24
 
 
 class Frame(NamedTuple):
@@ -52,6 +55,8 @@ def _layout(first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _GREY = bytes(x for i in range(256) for x in (i, i, i))
+#: Colours of text bytes: red of the low three bits, green of the middle ones, blue of the high two.
+_COLOURS = bytes(x for i in range(256) for x in ((i & 7) * 36, (i >> 3 & 7) * 36, (i >> 6) * 85))
 _ROOTS = [bytes((i,)) for i in range(256)]
 
 
@@ -131,6 +136,8 @@ def lzw_decode(stream: bytes, bits: int, n: int) -> bytes:
                 if c < clear:
                     add(_ROOTS[c])
                     continue
+                if c - first >= len(run):
+                    raise ValueError(f"code {c} is not in the table")
                 entry = run[c - first]
                 try:
                     add(entry + run[c - first + 1][:1])
@@ -148,13 +155,14 @@ def _blocks(data: bytes) -> bytes:
     return b"".join(bytes((len(x),)) + x for i in range(0, len(data), 255) if (x := data[i : i + 255])) + b"\0"
 
 
-def encode(frames: list[bytes], width: int, height: int, delay_cs: int = 4) -> bytes:
-    """Grey frames of 8-bit samples, each the size of the screen."""
-    parts = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), _GREY, b"\x21\xff\x0bNETSCAPE2.0\x03\x01\0\0\0"]
-    control = b"\x21\xf9\x04" + struct.pack("<BHBB", 1 << 2, delay_cs, 0, 0)
+def encode(frames: list[bytes], width: int, height: int, delay_cs: int = 4, palette: bytes = _GREY, clear: int | None = None, disposals: tuple[int, ...] = (1,)) -> bytes:
+    """Frames of 8-bit samples, each the size of the screen. clear: the sample that is transparent; disposals: of the
+    frames in turn."""
+    parts = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), palette, b"\x21\xff\x0bNETSCAPE2.0\x03\x01\0\0\0"]
+    control = [b"\x21\xf9\x04" + struct.pack("<BHBB", d << 2 | (clear is not None), delay_cs, clear or 0, 0) for d in disposals]
     image = b"\x2c" + struct.pack("<HHHHB", 0, 0, width, height, 0) + b"\x08"
-    for x in lzw_encode(frames):
-        parts += [control, image, _blocks(x)]
+    for k, x in enumerate(lzw_encode(frames)):
+        parts += [control[k % len(control)], image, _blocks(x)]
     return b"".join([*parts, b"\x3b"])
 
 
@@ -162,6 +170,8 @@ def decode(media: bytes) -> Iterator[Frame]:
     if media[:6] not in (b"GIF87a", b"GIF89a") or len(media) < 13:
         raise ValueError("not a GIF")
     width, height, flags, back = struct.unpack_from("<HHBB", media, 6)
+    if width * height > MOST_PIXELS:
+        raise ValueError(f"a screen of {width} x {height}")
     at = 13
 
     def palette(flags: int) -> np.ndarray | None:
@@ -200,6 +210,8 @@ def decode(media: bytes) -> Iterator[Frame]:
             raise ValueError(f"unknown block {kind}")
         x, y, w, h, bits = struct.unpack_from("<HHHHB", media, at)
         at += 9
+        if w * h > MOST_PIXELS:
+            raise ValueError(f"a frame of {w} x {h}")
         own = palette(bits)
         own = common if own is None else own
         size = media[at]
@@ -212,7 +224,7 @@ def decode(media: bytes) -> Iterator[Frame]:
             samples = plain
         before = canvas.copy() if disposal == 3 else None
         colours = own[samples] if own is not None else np.repeat(samples[..., None], 4, 2)
-        if (x, y, w, h) == (0, 0, width, height) and clear is None:
+        if (x, y, w, h) == (0, 0, width, height) and (clear is None or not (samples == clear).any()):
             canvas = colours
         else:
             canvas = canvas.copy()
@@ -228,10 +240,14 @@ def decode(media: bytes) -> Iterator[Frame]:
         delay, disposal, clear = 0, 0, None
 
 
-def histogram(canvas: np.ndarray, bins: int = 8) -> list[int]:
-    """Pixels by mean of red, green and blue; transparent ones are left out."""
-    level = canvas[..., :3].astype(np.uint16).sum(-1)[canvas[..., 3] > 0]
-    return np.bincount(level * bins // 766, minlength=bins)[:bins].tolist()
+def histogram(canvas: np.ndarray, bins: int = 4) -> list[int]:
+    """Pixels by colour: bins (a power of two, up to 4) of red times bins of green times bins of blue; transparent ones
+    are left out."""
+    width = bins.bit_length() - 1
+    red, green, blue = (canvas[..., k] >> (8 - width) for k in range(3))
+    cell = red << 2 * width | green << width | blue
+    seen = canvas[..., 3] > 0
+    return np.bincount(cell.ravel() if seen.all() else cell[seen], minlength=bins**3).tolist()
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -241,8 +257,12 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
 
 
 def store(payload: bytes) -> bytes:
-    """An animation of SIDE x SIDE frames, one for each TILE bytes."""
-    return encode([payload[i : i + TILE] for i in range(0, len(payload), TILE)], SIDE, SIDE)
+    """An animation of SIDE x SIDE coloured frames, one for each TILE bytes.
+
+    Frames are kept, cleared to the background or taken back in turn (they cover the screen, so none shows in the next);
+    sample 0 is transparent, so the few texts that hold it show the canvas there.
+    """
+    return encode([payload[i : i + TILE] for i in range(0, len(payload), TILE)], SIDE, SIDE, palette=_COLOURS, clear=0, disposals=(1, 2, 3))
 
 
 def to_media(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -290,13 +310,19 @@ def media_digest(text: str | None) -> tuple:
     """Store, read back, describe."""
     payload, n = payload_of(text)
     media = store(payload)
-    parts, hist, ms = [], np.zeros(256, np.int64), 0
+    parts, shown, ms = [], [], 0
+    hist = np.zeros(64, np.int64)
     for f in decode(media):
         parts.append(f.samples.tobytes())
-        hist += np.bincount(f.canvas[..., 0].ravel(), minlength=256)
+        shown.append(f.canvas)
         ms += f.delay_ms
+        if len(shown) == 64:  # colours of many canvases are counted together
+            hist += histogram(np.stack(shown))
+            shown.clear()
+    if shown:
+        hist += histogram(np.stack(shown))
     back = b"".join(parts)
-    feature = f"frames={len(parts)};ms={ms};hist={','.join(map(str, hist.reshape(8, 32).sum(1).tolist()))}"
+    feature = f"frames={len(parts)};ms={ms};hist={','.join(map(str, hist.tolist()))}"
     return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
 

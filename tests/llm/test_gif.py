@@ -83,4 +83,24 @@ def test_files_that_are_no_gif(spark):
     assert [r.error for r in gif.frames(bad).collect()] == ["not a GIF"] * 2
     with pytest.raises(ValueError):
         list(gif.decode(b""))
-    assert gif.histogram(np.full((2, 2, 4), 255, np.uint8)) == [0, 0, 0, 0, 0, 0, 0, 4]
+    assert gif.histogram(np.full((2, 2, 4), 255, np.uint8)) == [0] * 63 + [4]
+    some = np.array([[[255, 0, 0, 255], [0, 255, 0, 255]], [[0, 0, 200, 255], [0, 0, 0, 0]]], np.uint8)
+    assert {k: n for k, n in enumerate(gif.histogram(some)) if n} == {48: 1, 12: 1, 3: 1}
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0)
+    with pytest.raises(ValueError, match="a screen of"):
+        list(gif.decode(huge))
+    with pytest.raises(ValueError, match="not in the table"):
+        gif.lzw_decode(plain_lzw([(4, 3), (1, 3), (7, 3), (5, 3)], 2), 2, 9)
+
+
+def test_stored_texts_use_palette_disposal_and_transparency():
+    payload = b"abc\0".ljust(3 * gif.TILE, b"\xff")
+    media = gif.store(payload)
+    f = list(gif.decode(media))
+    assert b"".join(x.samples.tobytes() for x in f) == payload and len(f) == 3
+    assert f[0].canvas[0, 0].tolist() == [36, 144, 85, 255] and f[0].canvas[0, 3].tolist() == [0, 0, 0, 0]  # colour of a; NUL is seen through
+    assert [media[i + 3] for i in range(len(media)) if media[i : i + 3] == b"\x21\xf9\x04"] == [1 << 2 | 1, 2 << 2 | 1, 3 << 2 | 1]
+    want = np.zeros(64, int)
+    for x in f:
+        want += gif.histogram(x.canvas)
+    assert gif.media_digest(payload.rstrip(b"\xff").decode("latin1"))[-1].startswith("frames=1;ms=40;hist=") and want.sum() == 3 * gif.TILE - 1
