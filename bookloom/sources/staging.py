@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no spark.checkpoint.dir and all its executors are threads of the driver, as in tests.
 LOCAL_DIR = "/tmp/checkpoints"
+#: Rows of a file, and the least number of files, of tables whose size is known to be small beside the shuffle's partitions.
+#: Every file costs a store's calls, and local stores a process each, so hundreds of files of a few rows are worse than few.
+FILE_ROWS, LEAST_FILES = 1 << 16, 8
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -40,9 +43,12 @@ def _shuffles_go(spark: SparkSession):
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again."""
+def staged(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """df written as Parquet in the shared folder and read again. rows: a bound of its narrow rows, where one is known;
+    files are then no more than these need."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     with _shuffles_go(spark):
         df.write.parquet(path)
