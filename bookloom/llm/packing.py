@@ -7,7 +7,7 @@ island gets the elite of its neighbour. The best island's packing of a shard sta
 that reaches the lower bound, the sum of lengths over the room, stops early.
 
 Defined results: null and empty texts have the end id alone; only documents longer than a sequence are
-cut; repeated rows are packed each; an empty table gives an empty result; other columns are ignored.
+cut; a text of any length is tokenised whole; repeated rows are packed each, over all shards; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from .storage import discard, materialize
 
 ROOM, END = 2048, 0
 SHARD, ISLANDS, EPOCHS, POPULATION, CHILDREN = 4096, 2, 2, 4, 12
-#: Words that one worker remembers the ids of.
-WORDS = 1_000_000
+#: Words, and characters of them, that one worker remembers the ids of: about 60 MB. Then it forgets all and starts again.
+WORDS, WORD_CHARS = 100_000, 4 << 20
 
 #: Characters for which the short pattern below cuts and lowers texts as the tokenizer does; other texts go through it whole.
 _PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
@@ -50,7 +50,7 @@ class _Words:
         self.number: dict[str, int] = {}
         # of each word: where its ids begin and how many they are; all ids; arrays grow by doubling
         self.at, self.n, self.flat = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 16, np.uint32)
-        self.used = 0
+        self.used = self.held = 0
 
     def learn(self, words: list[str]) -> None:
         """Each word is one of the tokenizer's own, so its ids end where a token ends a word."""
@@ -66,6 +66,7 @@ class _Words:
         self.at[k : k + len(words)], self.n[k : k + len(words)] = m + first, last - first
         self.flat[m : m + len(ids)] = ids
         self.used += len(ids)
+        self.held += sum(map(len, words))
         self.number.update(zip(words, range(k, k + len(words)), strict=True))
 
     def ids(self, words: list[str]) -> np.ndarray:
@@ -91,7 +92,7 @@ def token_ids(text: str | None, path: str) -> np.ndarray:
     """The tokenizer's ids, made word by word where that is the same, and the end id."""
     words, text = _words(path), text or ""
     if _PLAIN.fullmatch(text) and not ("<|" in text and _SPECIAL.search(text)):
-        if len(words.number) > WORDS:
+        if len(words.number) > WORDS or words.held > WORD_CHARS:
             words.start()
         ids = words.ids(_TOKEN.findall(text.lower()))
     else:
@@ -206,8 +207,11 @@ def pack(pieces: DataFrame, room: int = ROOM) -> DataFrame:
     shards = max(1, -(-pieces.count() // SHARD))
     kind = pieces.schema["doc_id"].dataType.simpleString()
     base = f"shard int, island int, doc_id {kind}, piece int, start long, length long, ids_crc32 long"
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int").alias("shard")
-    now = pieces.select(shard, F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), *_COLS)
+    # the row's place in its table spreads equal rows over shards
+    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard")
+    # a row has its shard before it goes to the islands, so that all of them have the same pieces
+    now = pieces.select(shard, *_COLS)
+    now = now.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), *_COLS)
     now = now.withColumns({"of": F.lit(-1), "bin": F.lit(-1)})
 
     def solutions(t: pa.Table) -> tuple[pa.Table, list[Packing]]:
