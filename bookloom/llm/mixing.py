@@ -4,11 +4,13 @@ A document's key is exponential with its quality weight as rate: -ln(u) / weight
 id, so reruns agree. Within a source, documents in key order are a weighted sample without replacement.
 A source takes complete epochs first; the rest of its target goes to its first documents in key order,
 by running sums of sizes. A source's running sum is made in two steps, over key ranges and within one
-range, so that no task holds a whole source, however large its share.
+range, so that no task holds a whole source, however large its share. Ranges are steps of the key's
+logarithm: a weight only shifts that, so a range holds the same share of a source whatever its weights are.
 
 Defined results: a null text has size 0; the null source is a source, listed last; repeated rows count
-each; documents of size 0 are taken 0 words; an empty table gives an empty result; other columns are
-ignored by mix() and kept by take().
+each; documents of equal key are ordered by id (nulls first), then size; documents without an id draw by
+their text; documents of size 0 are taken 0 words; a text of any length is one document; an empty table
+gives an empty result; other columns are ignored by mix() and kept by take().
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ from .storage import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 #: Times its size that a source is taken at most.
 MOST = 3
-#: Key ranges of a source; a range holds 1/RANGES of its documents, whatever the source's size.
-RANGES = 4096
+#: Documents for each step of a key range, and the least number of steps to a factor e of the key. The logarithm of an
+#: exponential variable is nowhere denser than 1/e, so a range of n steps holds at most 1/(e n) of a source's documents.
+RANGE_ROWS, RANGES = 1 << 14, 512
 
 
 def words(text: Column) -> Column:
@@ -36,12 +39,18 @@ def quality_weight(text: Column, size: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.abs(mean - 6.0) / 6.0)
 
 
-def uniform(key: Column, seed: str = "mix") -> Column:
-    """In (0, 1), from the first 52 bits of a digest."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
+def uniform(key: Column, text: Column, seed: str = "mix") -> Column:
+    """In (0, 1), from the first 52 bits of a digest of the key, or of the text where there is none."""
+    by = F.coalesce(key.cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")))))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), by))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+def key_range(key: Column, steps: int) -> Column:
+    """Rises with the key."""
+    return F.floor(F.log(key) * steps).cast("long")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """sizes: source, source_size, a row per source. Adds weight and target.
 
@@ -73,10 +82,12 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), quality: Col
     size = words(F.col("text"))
     base = documents.select("doc_id", "source", F.col("text"), size.alias("size")).select(
         "doc_id", "source", "size",
-        (-F.log(uniform(F.col("doc_id"))) / (quality if quality is not None else quality_weight(F.col("text"), F.col("size")))).alias("key"),
+        (-F.log(uniform(F.col("doc_id"), F.col("text"))) / (quality if quality is not None else quality_weight(F.col("text"), F.col("size")))).alias("key"),
     )
     # texts are read and counted once; what follows are passes over four narrow columns
-    base = materialize(base, "mix").withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * RANGES).cast("int"))
+    base = materialize(base, "mix")
+    steps = max(RANGES, 1 << (base.count() // RANGE_ROWS).bit_length())
+    base = base.withColumn("range", key_range(F.col("key"), steps))
     ranges = base.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     goal = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights)
     by_range = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
@@ -108,7 +119,7 @@ def take(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFram
         mix(documents, weights).where(F.col("taken") > 0)
         .groupBy("doc_id").agg(F.max("times").alias("__bl_times")).withColumnRenamed("doc_id", "__bl_id")
     )
-    joined = documents.join(chosen.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__bl_id")))
+    joined = documents.join(chosen, F.col("doc_id").eqNullSafe(F.col("__bl_id")))
     copies = F.explode(F.sequence(F.lit(1), F.col("__bl_times")))
     return joined.where(words(F.col("text")) > 0).select(*documents.columns, copies.alias("__bl_copy")).drop("__bl_copy")
 

@@ -71,10 +71,10 @@ SELECT conv_id, count(*) AS n_turns,
 FROM rows GROUP BY conv_id"""
 
 _MIX_SQL = r"""WITH base AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, length(coalesce(text, '')) AS chars
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, length(coalesce(text, '')) AS chars, text
   FROM documents),
 keyed AS (
-  SELECT *, -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)
+  SELECT *, -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, '')))), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)
             / (1.0 / (1.0 + abs(chars::DOUBLE / greatest(size, 1) - 6.0) / 6.0)) AS key
   FROM base),
 sized AS (SELECT source, sum(size)::BIGINT AS source_size FROM base GROUP BY source),

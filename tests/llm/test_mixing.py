@@ -59,3 +59,18 @@ def test_odd_rows(odd_documents, no_documents):
     assert len(out) == odd_documents.count()
     assert all(r.taken == 0 for r in out if r.size == 0)
     assert mixing.mix_digests(no_documents).count() == mixing.take(no_documents).count() == 0
+
+
+def test_no_key_range_is_hot_whatever_the_weights(spark):
+    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    for weight in (1.0, 0.2, 0.05, 0.001):
+        keyed = rows.select((-F.log(mixing.uniform(F.col("doc_id"), F.col("text"))) / weight).alias("key"))
+        per = keyed.groupBy(mixing.key_range(F.col("key"), 512)).count().agg(F.max("count"), F.count("*")).first()
+        assert per[0] <= 2 * 40_000 / (2.718 * 512) + 10 and per[1] > 512
+
+
+def test_documents_without_ids_draw_by_their_text(spark):
+    df = spark.createDataFrame([(None, f"w{i} x y", "a") for i in range(300)] + [(i, "z " * 40, "b") for i in range(300)], "doc_id long, text string, source string")
+    assert len({r.u for r in df.where("doc_id IS NULL").select(mixing.uniform(F.col("doc_id"), F.col("text")).alias("u")).collect()}) == 300
+    got = mixing.mix(df).where("doc_id IS NULL").collect()
+    assert len(got) == 300 and abs(sum(r.taken for r in got) - got[0].target) <= 3
