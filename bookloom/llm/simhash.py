@@ -2,9 +2,10 @@
 
 A 64-bit fingerprint maps to the bit counts of its 32 two-bit segments. The Manhattan distance of two
 such vectors is a lower bound of the Hamming distance, so fingerprints within RADIUS bits have vectors
-within RADIUS. The grid range join rests on that bound: with the segments in RADIUS + 3 blocks, two
-vectors within RADIUS agree in three blocks at least, so equal cells of three blocks bring together
-every pair that can link; then distances are verified on the fingerprints.
+within RADIUS. The grid range join rests on that bound: with the coordinates in RADIUS + 3 blocks, two
+vectors within RADIUS are at range 0 of each other in three blocks at least, so the grids' cells are those of
+side one in every three blocks, and bring together every pair that can link. In a cell the Manhattan distance
+of the vectors is tested first; only pairs within the radius there are verified on the fingerprints.
 
 Within a cell, a search over what isn't yet reached emits at most one link per member, whatever the
 cell's size; a cell over CELL members is dealt out as pairs of chunks, each within that bound.
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import materialize
+from .storage import discard, materialize
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Members of a cell that one task holds at once.
@@ -118,23 +119,39 @@ def cells(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return fps.select("fp", e.alias("e")).select("fp", F.explode(every).alias("k")).select("fp", "k.grid", "k.cell")
 
 
-def _near(rows: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
-    """Which rows (of words) are within so many bits of one; bit counts of words bound the distance from below."""
-    if rows.shape[1] == 1:
-        return np.bitwise_count(rows[:, 0] ^ at[0]) <= bits
-    out = np.abs(np.bitwise_count(rows).astype(np.int16) - np.bitwise_count(at)).sum(1) <= bits
-    out[out] = np.bitwise_count(rows[out] ^ at).sum(1, dtype=np.int64) <= bits
+def unary(fps: np.ndarray) -> np.ndarray:
+    """embedding() of an array of fingerprints."""
+    low = np.uint64(_LOW)
+    even, odd = fps & low, fps >> np.uint64(1) & low
+    return even | odd | (even & odd) << np.uint64(1)
+
+
+def _near(rows: np.ndarray, at: np.ndarray, bits: int, ratio: float = 0.0) -> np.ndarray:
+    """Which rows are within so many bits of one (or each of as many). A row is a fingerprint and its vector; or several
+    words of one, whose bit counts bound the distance from below, and the number of shingles: sets whose sizes are in no
+    such ratio can't be that similar."""
+    at = at if at.ndim == 2 else at[None]
+    if rows.shape[1] == 2:
+        out = np.bitwise_count(rows[:, 1] ^ at[:, 1]) <= bits  # Manhattan
+        out &= np.bitwise_count(rows[:, 0] ^ at[:, 0]) <= bits
+        return out
+    sizes, own = rows[:, -1].astype(np.int64), at[:, -1].astype(np.int64)
+    out = np.minimum(sizes, own) >= ratio * np.maximum(sizes, own)
+    rows, at = rows[out, :-1], np.broadcast_to(at, (len(rows), at.shape[1]))[out, :-1]
+    near = np.abs(np.bitwise_count(rows).astype(np.int16) - np.bitwise_count(at)).sum(1) <= bits
+    near[near] = np.bitwise_count(rows[near] ^ at[near]).sum(1, dtype=np.int64) <= bits
+    out[out] = near
     return out
 
 
-def _spread(fps: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _spread(fps: np.ndarray, bits: int, ratio: float = 0.0) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links, as places, that join what links within so many bits join: each member once, to one that reached it."""
     out, rest = [], np.arange(len(fps))
     while len(rest) > 1:
         reached, rest = [int(rest[0])], rest[1:]
         while reached and len(rest):
             at = reached.pop()
-            near = _near(fps[rest], fps[at], bits)
+            near = _near(fps[rest], fps[at], bits, ratio)
             if near.any():
                 new = rest[near]
                 out.append((np.full(len(new), at), new))
@@ -143,30 +160,33 @@ def _spread(fps: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _links(keys: list[np.ndarray], fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _links(keys: list[np.ndarray], fps: np.ndarray, bits: int, ratio: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Rows sorted by keys; links, as places, within each key's rows."""
     change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
     starts = np.concatenate([[0], change])
     sizes = np.diff(np.concatenate([starts, [len(fps)]]))
     two = starts[sizes == 2]
-    two = two[np.bitwise_count(fps[two] ^ fps[two + 1]).sum(1, dtype=np.int64) <= bits]
+    two = two[_near(fps[two], fps[two + 1], bits, ratio)]
     found = [(two, two + 1)]
     for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-        found += [(a + s, b + s) for a, b in _spread(fps[s : s + n], bits)]
+        found += [(a + s, b + s) for a, b in _spread(fps[s : s + n], bits, ratio)]
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _words_of(column: pa.Array) -> np.ndarray:
-    """Fingerprints as rows of 64-bit words, from longs or from binaries of one length."""
+    """Rows of 64-bit words: of longs the fingerprint and its vector, of binaries of one length their words."""
     if pa.types.is_integer(column.type):
-        return column.to_numpy(zero_copy_only=False).view(np.uint64)[:, None]
+        fps = column.to_numpy(zero_copy_only=False).view(np.uint64)
+        return np.stack([fps, unary(fps)], 1)
     return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), -1)
 
 
-def cell_links(rows: DataFrame, bits: int) -> DataFrame:
-    """rows: id (long), fp, grid, cell. a, b: ids, links that join exactly what links of rows of a cell join."""
+def cell_links(rows: DataFrame, bits: int, ratio: float = 0.0) -> DataFrame:
+    """rows: id (long), fp, grid, cell. a, b: ids, links that join exactly what links of rows of a cell join; ratio: of
+    the sizes that the last word of a wide fp tells."""
     hot = rows.groupBy("grid", "cell").count().where(F.col("count") > CELL)
-    hot = materialize(hot.select("grid", "cell", F.ceil(F.col("count") / CELL).cast("int").alias("chunks")), "cells")
+    # a row for CELL rows and more: few, but found among all cells, so only what is left goes to few files
+    hot = materialize(hot.select("grid", "cell", F.ceil(F.col("count") / CELL).cast("int").alias("chunks")).repartition(8), "cells")
     if hot.isEmpty():
         rows = rows.withColumns({"i": F.lit(0), "j": F.lit(0)})
     else:
@@ -180,7 +200,7 @@ def cell_links(rows: DataFrame, bits: int) -> DataFrame:
 
         def flush(cols: list[np.ndarray]):
             ids, fps, *keys = cols
-            a, b = _links(keys, fps, bits)
+            a, b = _links(keys, fps, bits, ratio)
             for s in range(0, len(a), _STEP):
                 yield pa.record_batch([pa.array(ids[a[s : s + _STEP]]), pa.array(ids[b[s : s + _STEP]])], names=["a", "b"])
 
@@ -210,11 +230,13 @@ def groups(documents: DataFrame, words: int = SHINGLE, radius: int = RADIUS) ->
     """doc_id, fp, component_id: the smallest doc_id that links reach."""
     fp = materialize(fingerprints(documents, words), "fingerprints")
     distinct = materialize(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    n = distinct.count()
     root = components(links(distinct.select("fp"), radius))
     classes = distinct.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    classes = materialize(classes, "roots")
-    least = materialize(classes.groupBy("root").agg(F.min("least").alias("component_id")), "least")  # so that large groups can be split below
-    named = materialize(classes.join(least, "root").select(F.col("fp").alias("of"), "component_id"), "named")
+    classes = materialize(classes, "roots", n)
+    least = materialize(classes.groupBy("root").agg(F.min("least").alias("component_id")), "least", n)  # so that large groups can be split below
+    named = materialize(classes.join(least, "root").select(F.col("fp").alias("of"), "component_id"), "named", n)
+    discard(distinct, root, classes, least)
     return fp.join(named, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
 
 
@@ -256,7 +278,7 @@ def named(hashes: np.ndarray) -> int:
 
 
 def sketches(documents: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, fp (WIDE words, as binary), h (a digest of the shingles), size (of them) and cells: pairs of the most decided bits."""
+    """doc_id, fp (WIDE words and the number of shingles, as binary), h (a digest of the shingles), size (of them) and cells: pairs of the most decided bits."""
     pairs = np.array(list(combinations(range(DECIDED), 2)))
 
     def sketch(text: str | None) -> tuple[bytes, int, int, list[int]]:
@@ -264,7 +286,7 @@ def sketches(documents: DataFrame, words: int = 5) -> DataFrame:
         off = 2 * set_counts(hashes) - len(hashes)
         top = np.sort(np.argsort(-np.abs(off), kind="stable")[:DECIDED])
         signed = 2 * top + (off[top] > 0)
-        fp = np.packbits(off > 0, bitorder="little").tobytes()
+        fp = np.packbits(off > 0, bitorder="little").tobytes() + len(hashes).to_bytes(8, "little")
         return fp, named(hashes), len(hashes), (signed[pairs[:, 0]] << 20 | signed[pairs[:, 1]]).tolist()
 
     def run(batches):
@@ -302,13 +324,13 @@ def _similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def verified(documents: DataFrame, members: DataFrame, words: int, similarity: float) -> DataFrame:
-    """members: h, size, least (a document that has the set) and root, the group of candidates. a, b: links by Jaccard
+def verified(documents: DataFrame, members: DataFrame, words: int, similarity: float, rows: int | None = None) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """Links, and the tables that they are read from. members: h, size, least (a document that has the set) and root, the group of candidates. a, b: links by Jaccard
     similarity of the shingles, that join what all such links within a group join."""
     chunks = F.ceil(F.greatest(F.count("*") / GROUP, F.sum("size") * 8 / GROUP_BYTES)).cast("int")
-    groups = materialize(members.groupBy("root").agg(chunks.alias("chunks")), "groups")
-    m = materialize(members.join(groups, "root").select(F.col("h").alias("__bl_h"), F.col("least").alias("__bl_id"), F.col("root").alias("__bl_root"), F.col("chunks").alias("__bl_chunks")), "members")
-    texts = documents.select("doc_id", "text").join(m.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__bl_id")))
+    sizes = materialize(members.groupBy("root").agg(chunks.alias("chunks")), "groups", rows)
+    m = materialize(members.join(sizes, "root").select(F.col("h").alias("__bl_h"), F.col("least").alias("__bl_id"), F.col("root").alias("__bl_root"), F.col("chunks").alias("__bl_chunks")), "members", rows)
+    texts = documents.select("doc_id", "text").join(m, F.col("doc_id").eqNullSafe(F.col("__bl_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -326,7 +348,7 @@ def verified(documents: DataFrame, members: DataFrame, words: int, similarity: f
         a, b = _similar([np.frombuffer(column[int(k)].as_py(), np.uint64) for k in first], similarity)
         return pa.table({"a": h[a], "b": h[b]})
 
-    return held.groupBy("root", "i", "j").applyInArrow(links_of, "a long, b long")
+    return held.groupBy("root", "i", "j").applyInArrow(links_of, "a long, b long"), (sizes, m)
 
 
 def near_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -334,21 +356,26 @@ def near_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8) -
     made = materialize(sketches(documents, words), "sketches")
     distinct = made.groupBy("h").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("cells").alias("cells"))
     distinct = materialize(distinct, "classes")
+    n = distinct.count()
     rows = distinct.select(F.col("h").alias("id"), "fp", F.lit(0).cast("short").alias("grid"), F.explode("cells").alias("cell"))
-    candidates = materialize(components(cell_links(rows, allowed_bits(similarity))), "candidates")
+    candidates = components(cell_links(rows, allowed_bits(similarity), similarity))
     both = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root")).distinct()
     members = distinct.join(both, F.col("h") == F.col("node")).select("h", "size", "least", "root")
-    root = components(verified(documents, members, words, similarity))
-    classes = materialize(distinct.join(root, F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("root", "h").alias("root")), "roots")
-    least = materialize(classes.groupBy("root").agg(F.min("least").alias("component_id")), "least")  # so that large groups can be split below
-    of = materialize(classes.join(least, "root").select(F.col("h").alias("of"), "component_id"), "named")
-    return made.select("doc_id", "h").join(of, F.col("h") == F.col("of")).select("doc_id", "h", "component_id")
+    found, read = verified(documents, members, words, similarity, n)
+    root = components(found)
+    discard(candidates, *read)
+    classes = materialize(distinct.join(root, F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("root", "h").alias("root")), "roots", n)
+    least = materialize(classes.groupBy("root").agg(F.min("least").alias("component_id")), "least", n)  # so that large groups can be split below
+    of = materialize(classes.join(least, "root").select(F.col("h").alias("of"), "component_id"), "named", n)
+    slim = materialize(made.select("doc_id", "h"), "sketched")
+    discard(made, distinct, root, classes, least)
+    return slim.join(of, F.col("h") == F.col("of")).select("doc_id", "h", "component_id")
 
 
 def keep_one(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """documents, with all their columns: of each group of near copies the one of the smallest id, once."""
     chosen = near_groups(documents, words, similarity).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = chosen.groupBy("doc_id").agg(F.count("*").alias("__bl_times")).withColumnRenamed("doc_id", "__bl_id").hint("shuffle_hash")
+    chosen = chosen.groupBy("doc_id").agg(F.count("*").alias("__bl_times")).withColumnRenamed("doc_id", "__bl_id")
     kept = documents.join(chosen, F.col("doc_id").eqNullSafe(F.col("__bl_id")))
     once = kept.where("__bl_times = 1").select(*documents.columns)
     return once.unionByName(kept.where("__bl_times > 1").select(*documents.columns).dropDuplicates(["doc_id", "text"]))

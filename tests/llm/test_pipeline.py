@@ -87,3 +87,29 @@ def test_allowed_bits_follow_similarity():
     assert simhash.allowed_bits(0.8) < simhash.allowed_bits(0.7)
     assert np.isclose(gam.CUT, 0.3)
     assert importlib.import_module("bookloom.llm.storage").shared_dir
+
+
+def test_odd_rows_through_every_stage(spark, tmp_path, folder):
+    """Extra columns with clashing names, repeated rows, null ids and sources, and a table without rows."""
+    path, texts = folder
+    odd = "score double, h long, size long, source_size long, fp string, root long, spans string, proposals string, key string, taken long"
+    extra = tuple([1.0, 7, 7, 7, "x", 7, "s", "p", "k", 7])
+    base = [(i, texts[i], "en", "s0", len(texts[i])) for i in range(40)]
+    rows = [r + extra for r in [*base, *base[:3], (None, texts[41], None, None, None), (None, texts[41], None, None, None), (None, None, None, None, None), (90, "", "en", None, 0), (91, " \n", "en", "s1", 2)]]
+    docs = spark.createDataFrame(rows, f"{SCHEMA}, {odd}")
+    columns = docs.dtypes
+    for data in (docs, docs.limit(0)):
+        now = data
+        for name, stage in pipeline.STAGES:
+            now = stage(spark, now, path)
+            if name != "best-fit packing":
+                assert now.dtypes == columns, name
+            now = now.cache()
+            if name == "SimHash near-dedup" and data is docs:
+                kept = [r.doc_id for r in now.collect()]
+                assert len([i for i in kept if i is not None]) == len({i for i in kept if i is not None})
+        packed = now.collect()
+        fill = {}
+        for r in packed:
+            fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
+        assert all(n <= 2048 for n in fill.values()) and bool(packed) == (data is docs)

@@ -86,10 +86,21 @@ def test_groups_of_odd_rows(odd_documents, no_documents):
 
 
 def test_spread_joins_chains():
-    x = np.array([0, 15, 255, 1 << 60], np.uint64)[:, None]
+    fps = np.array([0, 15, 255, 1 << 60], np.uint64)
+    x = np.stack([fps, simhash.unary(fps)], 1)
     assert {tuple(map(int, p)) for a, b in simhash._spread(x, 4) for p in zip(a, b, strict=True)} == {(0, 1), (1, 2), (0, 3)}
-    wide = np.repeat(x, 8, 1)
+    wide = np.concatenate([np.repeat(fps[:, None], 8, 1), np.array([[10], [10], [10], [7]], np.uint64)], 1)
     assert {tuple(map(int, p)) for a, b in simhash._spread(wide, 8) for p in zip(a, b, strict=True)} == {(0, 3)}
+    assert not simhash._spread(wide, 8, 0.8)  # sets of 10 and 7 shingles are not that similar
+
+
+def test_the_vectors_distance_is_a_lower_bound():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 1 << 63, 500, np.uint64)
+    b = a ^ (np.uint64(1) << rng.integers(0, 64, 500, np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 500, np.uint64))
+    counts = lambda v: np.stack([np.bitwise_count(v >> np.uint64(2 * i) & np.uint64(3)) for i in range(32)], 1).astype(int)
+    manhattan = np.abs(counts(a) - counts(b)).sum(1)
+    assert (np.bitwise_count(simhash.unary(a) ^ simhash.unary(b)) == manhattan).all() and (manhattan <= np.bitwise_count(a ^ b)).all()
 
 
 def jaccard(a, b, k=5):
@@ -156,3 +167,4 @@ def test_short_near_copies_meet(spark):
         rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:-1]))]  # 6 and 5 shingles: similarity 0.83
     got = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i in range(120)}
+
