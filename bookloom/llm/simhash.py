@@ -327,20 +327,29 @@ def _similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.
 def verified(documents: DataFrame, members: DataFrame, words: int, similarity: float, rows: int | None = None) -> tuple[DataFrame, tuple[DataFrame, ...]]:
     """Links, and the tables that they are read from. members: h, size, least (a document that has the set) and root, the group of candidates. a, b: links by Jaccard
     similarity of the shingles, that join what all such links within a group join."""
+    # sets of sizes in no such ratio can't link, so members meet by bands of size: a pair that can is in one band or two
+    # neighbours. Group g of a root holds bands g and g + 1; one without members of band g has nothing of its own to ask.
+    step = float(np.log(1 / (similarity * 0.999)))
+    band = F.when(F.col("size") > 0, F.floor(F.log(F.col("size")) / step)).otherwise(-1).cast("long")
+    placed = members.select("h", "least", "root", "size", band.alias("band"), F.explode(F.array(band, band - 1)).alias("g"))
     chunks = F.ceil(F.greatest(F.count("*") / GROUP, F.sum("size") * 8 / GROUP_BYTES)).cast("int")
-    sizes = materialize(members.groupBy("root").agg(chunks.alias("chunks")), "groups", rows)
-    m = materialize(members.join(sizes, "root").select(F.col("h").alias("__bl_h"), F.col("least").alias("__bl_id"), F.col("root").alias("__bl_root"), F.col("chunks").alias("__bl_chunks")), "members", rows)
+    sizes = placed.groupBy("root", "g").agg(chunks.alias("chunks"), F.count_if(F.col("band") == F.col("g")).alias("own")).where("own > 0")
+    sizes = materialize(sizes.select("root", "g", "chunks"), "groups", rows)
+    at = F.collect_list(F.struct("g", "chunks"))  # at most two
+    m = placed.join(sizes, ["root", "g"]).groupBy("h", "least", "root").agg(at.alias("at"))
+    m = materialize(m.select(F.col("h").alias("__bl_h"), F.col("least").alias("__bl_id"), F.col("root").alias("__bl_root"), F.col("at").alias("__bl_at")), "members", rows)
     texts = documents.select("doc_id", "text").join(m, F.col("doc_id").eqNullSafe(F.col("__bl_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_py(), words) for t in b.column(0)]
             keep = pa.array([named(x) == h.as_py() for x, h in zip(sets, b.column(1), strict=True)], pa.bool_())  # an id may have several texts
-            yield pa.record_batch([b.column(1), b.column(2), b.column(3), pa.array([x.tobytes() for x in sets], pa.binary())], names=["h", "root", "chunks", "set"]).filter(keep)
+            yield pa.record_batch([b.column(1), b.column(2), b.column(3), pa.array([x.tobytes() for x in sets], pa.binary())], names=["h", "root", "at", "set"]).filter(keep)
 
-    held = texts.select("text", "__bl_h", "__bl_root", "__bl_chunks").mapInArrow(run, "h long, root long, chunks int, set binary")
+    held = texts.select("text", "__bl_h", "__bl_root", "__bl_at").mapInArrow(run, "h long, root long, at array<struct<g:long,chunks:int>>, set binary")
+    held = held.withColumn("at", F.explode("at")).select("h", "root", "set", "at.g", "at.chunks")
     held = held.withColumn("own", F.pmod(F.xxhash64("h"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    held = held.select("h", "set", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    held = held.select("h", "set", "root", "g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def links_of(table: pa.Table) -> pa.Table:
         h, first = np.unique(table.column("h").to_numpy(), return_index=True)
@@ -348,7 +357,7 @@ def verified(documents: DataFrame, members: DataFrame, words: int, similarity: f
         a, b = _similar([np.frombuffer(column[int(k)].as_py(), np.uint64) for k in first], similarity)
         return pa.table({"a": h[a], "b": h[b]})
 
-    return held.groupBy("root", "i", "j").applyInArrow(links_of, "a long, b long"), (sizes, m)
+    return held.groupBy("root", "g", "i", "j").applyInArrow(links_of, "a long, b long"), (sizes, m)
 
 
 def near_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -168,3 +168,12 @@ def test_short_near_copies_meet(spark):
     got = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i in range(120)}
 
+
+def test_similar_sets_meet_in_bands_of_size():
+    """Sizes of sets that can be that similar are in one band or two neighbours."""
+    for similarity in (0.8, 0.5, 0.9):
+        step = np.log(1 / (similarity * 0.999))
+        sizes = np.arange(1, 3000)
+        band = np.floor(np.log(sizes) / step)
+        least = np.ceil(similarity * sizes - 1e-9).astype(int).clip(1)
+        assert (band - np.floor(np.log(least) / step) <= 1).all()
