@@ -38,7 +38,7 @@ def ship(spark: SparkSession) -> SparkSession:
     Clusters whose executors don't see that path install the package or pass it with --py-files. Batches of rows for
     workers are bounded by BATCH_BYTES, unless the session sets less.
     """
-    spark.conf.set(_BATCH, str(min(BATCH_BYTES, _bytes(spark.conf.get(_BATCH, "")))))
+    spark.conf.set(_BATCH, str(min(BATCH_BYTES, _bytes(spark.conf.get(_BATCH)))))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
