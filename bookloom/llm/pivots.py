@@ -19,18 +19,24 @@ each; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import materialize
+from .storage import discard, materialize
 
 THRESHOLD, NEAREST, CHUNK, SEED = 0.9, 8, 2048, 5
 #: Pivots: the power of two at or above this times the root of the number of different vectors, at least LEAST.
 PER_ROOT, LEAST = 1.0, 64
 _STEP = 256
+#: Products, of rows with pivots, and compared pairs that are held at once.
+_HELD, _PAIRS = 1 << 21, 1 << 14
+#: What single precision may be off by, in products of unit vectors; what is nearer to the threshold is looked at in double.
+_SLACK = 1e-4
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
@@ -52,15 +58,21 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True).clip(np.finfo(float).tiny)
 
 
+@lru_cache(maxsize=2)
 def directions(count: int, width: int) -> np.ndarray:
-    """The pivots; not of length 1, see above."""
+    """The pivots; not of length 1, see above. Each worker makes them from the seed, so none are sent."""
     return np.random.default_rng(SEED).normal(size=(count, width))
 
 
 def describe(unit: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
-    """The ordered nearest pivots of each row; ties go to the pivot listed first."""
-    out = [np.argsort(-(unit[s : s + _STEP] @ pivots.T).round(12), axis=1, kind="stable")[:, :nearest] for s in range(0, len(unit), _STEP)]
-    return np.concatenate([np.zeros((0, nearest), np.int32), *out]).astype(np.int32)
+    """The ordered nearest pivots of each row, _HELD products at a time."""
+    out, step = [np.zeros((0, nearest), np.int32)], max(1, _HELD // len(pivots))
+    for s in range(0, len(unit), step):
+        far = -(unit[s : s + step] @ pivots.T)
+        top = np.sort(np.argpartition(far, nearest - 1, axis=1)[:, :nearest], axis=1) if nearest < len(pivots) else np.tile(np.arange(nearest), (len(far), 1))
+        order = np.argsort(np.take_along_axis(far, top, 1), axis=1, kind="stable")
+        out.append(np.take_along_axis(top, order, 1).astype(np.int32))
+    return np.concatenate(out)
 
 
 def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -77,11 +89,17 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
+def _first_shared(a: np.ndarray, b: np.ndarray, pivot: int) -> np.ndarray:
+    """Which rows of pivots, pair by pair, share none before this one."""
+    return ~((a[:, :, None] == b[:, None, :]) & (a < pivot)[:, :, None]).any((1, 2))
+
+
 def verify(unit: np.ndarray, lists: np.ndarray, own: np.ndarray, copies: np.ndarray, pivot: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs whose first shared pivot is this one; own: the rows' chunks, if two, only pairs across.
 
-    For each row: copies of what it links with, and the least row that links reach. Pairs are never listed,
-    but those that join what was not joined before.
+    For each row: copies of what it links with, and the least row that links reach. Pairs are never listed
+    beyond a block, but those that join what was not joined before. Products in single precision say what may link;
+    where that is little, pair by pair is looked at in double precision, else the block as a whole.
     """
     across = own.min() != own.max()
     left = np.flatnonzero(own == own.min())
@@ -92,11 +110,26 @@ def verify(unit: np.ndarray, lists: np.ndarray, own: np.ndarray, copies: np.ndar
     i, j = np.nonzero(lists[right] < pivot)
     names[np.searchsorted(before, lists[right][i, j]), i] = True
     total, root = np.zeros(len(lists)), np.arange(len(lists))
+    quick = unit.astype(np.float32)
     for s in range(0, len(left), _STEP):
         rows = left[s : s + _STEP]
-        near = unit[rows] @ unit[right].T >= threshold
+        near = quick[rows] @ quick[right].T >= threshold - _SLACK
         if not across:
             near &= rows[:, None] < right
+        a, b = np.nonzero(near)
+        if len(a) * 32 <= near.size:
+            a, b = rows[a], right[b]
+            for k in range(0, len(a), _PAIRS):
+                p, q = a[k : k + _PAIRS], b[k : k + _PAIRS]
+                sure = (np.einsum("ij,ij->i", unit[p], unit[q]) >= threshold) & _first_shared(lists[p], lists[q], pivot)
+                p, q = p[sure], q[sure]
+                np.add.at(total, p, copies[q])
+                np.add.at(total, q, copies[p])
+                fresh = root[p] != root[q]
+                if fresh.any():
+                    root = _roots(np.concatenate([p[fresh], np.arange(len(root))]), np.concatenate([q[fresh], root]), len(root))
+            continue
+        near &= unit[rows] @ unit[right].T >= threshold
         for c in lists[rows].T:
             at = np.searchsorted(before, c)
             at[(c >= pivot) | (at >= len(before))] = len(before)
@@ -124,19 +157,18 @@ def links(embeddings: DataFrame, threshold: float = THRESHOLD, nearest: int = NE
     )
     n, width = classes.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
     k = max(LEAST, 1 << int(np.ceil(np.log2(max(1.0, PER_ROOT * np.sqrt(n))))))
-    pivots = directions(k, max(1, width))
-    nearest = min(nearest, len(pivots))
+    nearest, wide = min(nearest, k), max(1, width)
 
     def index(batches):
         for b in batches:
-            near = describe(_unit(_matrix(b.column(1), width)), pivots, nearest)
+            near = describe(_unit(_matrix(b.column(1), wide)), directions(k, wide), nearest)
             lists = pa.ListArray.from_arrays(np.arange(0, near.size + 1, nearest, dtype=np.int32), near.ravel())
             yield pa.record_batch([b.column(0), b.column(1), b.column(2), lists], names=["h", "embedding", "copies", "near"])
 
     kind = classes.schema["embedding"].dataType.simpleString()
     indexed = classes.select("h", "embedding", "copies").mapInArrow(index, f"h long, embedding {kind}, copies long, near array<int>")
     indexed = materialize(indexed, "index")
-    # one row for each pivot
+    # one row for each of the k pivots, about the root of the rows: 16 bytes each, 16 MB at 10^12 vectors
     sizes = indexed.select(F.explode("near").alias("pivot")).groupBy("pivot").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     listed = indexed.withColumn("pivot", F.explode("near")).join(F.broadcast(sizes), "pivot")
     listed = listed.withColumn("own", F.pmod("h", "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -149,25 +181,27 @@ def links(embeddings: DataFrame, threshold: float = THRESHOLD, nearest: int = NE
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         total, root = np.zeros(len(h)), np.arange(len(h))
         if i == j or own.min() != own.max():
-            total, root = verify(_unit(_matrix(table.column("embedding"), width)), near, own, copies, pivot, threshold)
+            total, root = verify(_unit(_matrix(table.column("embedding"), wide)), near, own, copies, pivot, threshold)
         keep = total > 0
         return pa.table({"h": h[keep], "n": total[keep].astype(np.int64), "to": h[root[keep]]})
 
     found = materialize(listed.groupBy("pivot", "i", "j").applyInArrow(count, "h long, n long, to long"), "found")
     total = found.groupBy("h").agg(F.sum("n").alias("n"))
     root = components(found, "h", "to")
-    out = (
+    out = materialize(
         classes.select("h", "copies", "least").join(total, "h", "left")
         .join(root, F.col("h") == F.col("node"), "left")
-        .select("h", "copies", "least", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("root", "h").alias("root"))
+        .select("h", "copies", "least", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("root", "h").alias("root")),
+        "linked", n,
     )
-    return rows, materialize(out, "linked")
+    discard(classes, indexed, found, root)
+    return rows, out
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept: a row per vector."""
     rows, classes = links(embeddings, threshold)
-    least = materialize(classes.groupBy("root").agg(F.min("least").alias("component_id")), "least")  # so that large groups can be split below
+    least = materialize(classes.groupBy("root").agg(F.min("least").alias("component_id")), "least", classes.count())  # so that large groups can be split below
     named = classes.join(least, "root").select(F.col("h").alias("of"), (F.col("n") + F.col("copies") - 1).alias("n"), "component_id")
     out = rows.join(named, F.col("h") == F.col("of"), "left")
     component = F.coalesce("component_id", "vec_id")

@@ -1,5 +1,6 @@
 import numpy as np
 from bookloom.llm import pivots
+from bookloom.llm.recall import dense
 
 SCHEMA = "vec_id long, embedding array<float>, label int, h long, n int, root string"
 
@@ -43,14 +44,6 @@ def test_odd_vectors(spark):
     assert pivots.near_duplicates(df.limit(0)).count() == 0
 
 
-def dense(n, width=64, seed=7):
-    """A third of the rows in one cluster with cosines about 0.92."""
-    rng = np.random.default_rng(seed)
-    x = rng.normal(size=(n, width))
-    x[: n // 3] = rng.normal(size=width) + x[: n // 3] * 0.295
-    return x.astype(np.float32)
-
-
 def test_recall_in_a_dense_group(spark, monkeypatch):
     monkeypatch.setattr(pivots, "PER_ROOT", 8.0)  # 512 pivots, as a table of 100,000 rows and more has
     x = dense(4000)
@@ -60,3 +53,48 @@ def test_recall_in_a_dense_group(spark, monkeypatch):
     assert sum(r.n_links for r in got.values()) >= 0.99 * n.sum()
     assert all(got[i].n_links <= n[i] for i in range(len(x)))
     assert np.mean([got[i].component_id == root[i] for i in range(len(x))]) > 0.99
+
+
+def test_pairs_that_share_one_late_pivot_are_found():
+    """Equal vectors in lists of many pivots, sparse and dense, whole and in chunks: each pair once, in its first shared list."""
+    rng = np.random.default_rng(2)
+    for n, near in ((40, False), (300, True)):
+        u = pivots._unit(np.tile(rng.normal(size=16), (n, 1)) + rng.normal(size=(n, 16)) * (0.01 if near else 0.6))
+        lists = np.sort(np.stack([rng.choice(1024, 8, replace=False) for _ in range(n)]), 1).astype(np.int32)
+        lists[:, 0], lists[::2, 3] = 5, 261
+        lists = np.sort(lists, 1)
+        copies = rng.integers(1, 4, n)
+        want = np.zeros(n)
+        for i in range(n):
+            for j in range(n):
+                if i != j and u[i] @ u[j] >= 0.9:
+                    want[i] += copies[j]
+        total = np.zeros(n)
+        for p in np.unique(lists):
+            rows = np.flatnonzero((lists == p).any(1))
+            for half in (False, True):
+                own = rows % 2 if half else np.zeros(len(rows), int)
+                if half and own.min() == own.max():
+                    continue
+                parts = [rows] if not half else []
+                if half:
+                    got, _ = pivots.verify(u[rows], lists[rows], own, copies[rows], p, 0.9)
+                    both = got.copy()
+                    for k in (0, 1):
+                        i = np.flatnonzero(own == k)
+                        both[i] += pivots.verify(u[rows[i]], lists[rows[i]], own[i], copies[rows[i]], p, 0.9)[0]
+                    whole, root = pivots.verify(u[rows], lists[rows], np.zeros(len(rows), int), copies[rows], p, 0.9)
+                    assert (both == whole).all() and (root <= np.arange(len(rows))).all()
+                for r in parts:
+                    total[r] += pivots.verify(u[r], lists[r], np.zeros(len(r), int), copies[r], p, 0.9)[0]
+        assert (total == want).all()
+
+
+def test_nearest_pivots_in_steps(monkeypatch):
+    rng = np.random.default_rng(4)
+    u, p = pivots._unit(rng.normal(size=(50, 16))), pivots.directions(600, 16)
+    want = np.argsort(-(u @ p.T), axis=1, kind="stable")[:, :8]
+    for held in (1, 5000, 1 << 21):
+        monkeypatch.setattr(pivots, "_HELD", held)
+        assert (pivots.describe(u, p, 8) == want).all()
+    assert (pivots.describe(u, p[:8], 8) == np.argsort(-(u @ p[:8].T), axis=1)).all()
