@@ -107,11 +107,15 @@ def pooled(counts: DataFrame, by: str, *measures: Column) -> DataFrame:
 
 
 def source_times(rows: DataFrame) -> DataFrame:
-    """GROUP, distinct source times, span in ms; with ordinal, regressions in published order too."""
+    """GROUP, distinct source times, span in ms; with ordinal, regressions in published order too.
+
+    Rows of one ordinal say nothing of their order: they stand by source time, so that none regresses against another
+    and every run counts the same.
+    """
     ms = F.unix_millis("source")
     keys = [F.count_distinct("source").alias("source_times"), (F.max(ms) - F.min(ms)).alias("span_ms")]
     if "ordinal" in rows.columns:
-        before = F.lag("source").over(W.partitionBy(*GROUP).orderBy("ordinal"))
+        before = F.lag("source").over(W.partitionBy(*GROUP).orderBy("ordinal", "source"))
         rows = rows.withColumn("__bl_back", F.coalesce(F.col("source") < before, F.lit(False)))
         keys.append(F.count_if("__bl_back").alias("regressions"))
     return rows.groupBy(*GROUP).agg(*keys)

@@ -103,6 +103,15 @@ def test_archive_rules_do_not_depend_on_order(spark):
         assert got == {"a": "invariant", "b": "ambiguous_change", "c": "ambiguous_interaction", "d": "invariant", "e": "ambiguous_unparseable"}
 
 
+def test_source_times_of_one_ordinal_do_not_depend_on_order(spark):
+    t = datetime(2026, 5, 1)
+    rows = [("m", "a", t, n, t.replace(second=s)) for n, s in ((1, 9), (1, 3), (1, 6), (2, 5), (2, 8), (3, 8))]
+    for data in (rows, rows[::-1], sorted(rows)):
+        df = spark.createDataFrame(data, "market string, asset_id string, received timestamp, ordinal long, source timestamp").coalesce(1)
+        (got,) = archive.source_times(df).collect()
+        assert (got.source_times, got.span_ms, got.regressions) == (5, 6000, 1)  # 9 to 5, from the first ordinal to the second
+
+
 def test_snapshot_sees_nothing_later(spark):
     states = spark.createDataFrame([("a", 10, 1.0, 2.0, True), ("a", 20, 3.0, 4.0, False)], "asset_id string, received long, best_bid double, best_ask double, valid boolean")
     asked = spark.createDataFrame([("a", 9), ("a", 10), ("a", 19), ("a", 25), ("b", 30)], "asset_id string, at long")
