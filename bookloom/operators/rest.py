@@ -96,8 +96,10 @@ def validations(fates: DataFrame, books: DataFrame, matched: DataFrame) -> DataF
     marks = books.where("code IS NULL").select("asset_id", "seq", "event_index", F.lit("book").alias("mark"))
     marks = marks.unionByName(matched.select("asset_id", "seq", F.lit(0).alias("event_index"), F.lit("rest").alias("mark")))
     both = a.unionByName(marks.withColumn("change_index", F.lit(-1)), allowMissingColumns=True)
-    ahead = W.partitionBy("asset_id").orderBy(*ORDER).rowsBetween(1, W.unboundedFollowing)
-    first = lambda kind: F.first(F.when(F.col("mark") == kind, F.col("seq")), ignorenulls=True).over(ahead)
+    # what comes first ahead is what came last in the order reversed: a frame that only grows is one pass, while one that
+    # shrinks is read anew for each row
+    ahead = W.partitionBy("asset_id").orderBy(*map(F.desc, ORDER)).rowsBetween(W.unboundedPreceding, -1)
+    first = lambda kind: F.last(F.when(F.col("mark") == kind, F.col("seq")), ignorenulls=True).over(ahead)
     both = both.withColumns({"next_book": first("book"), "validated_at": first("rest")}).where("discriminating IS NOT NULL")
     gone = F.least("next_touch", "next_book")
     won = F.col("validated_at").isNotNull() & (gone.isNull() | (F.col("validated_at") < gone))

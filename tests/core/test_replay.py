@@ -1,6 +1,7 @@
 """The set-based replay against the sequential fold, over random feeds, and the fixed cases of the feed's rules."""
 
 import random
+import re
 
 import pytest
 from bookloom.operators import replay, rest
@@ -118,6 +119,29 @@ def test_superseded_and_validated(spark):
     assert got == {1: "superseded", 2: "validated"}
 
 
+def test_validations_read_an_asset_once(spark):
+    """Verdicts by hand; a frame that runs to the asset's end is read anew for each row, which grows with the square."""
+    parts = frames(spark, feed(5, 900))
+    f = replay.replay(*parts)
+    matched = [(f"a{k % 3}", k) for k in range(7, 900, 7)]
+    out = rest.validations(f, parts[0], spark.createDataFrame(matched, "asset_id string, seq long"))
+    assert not re.search(r"RowFrame, (?!unboundedpreceding)[^,]+, unboundedfollowing", out._jdf.queryExecution().analyzed().toString())
+    applied = [r for r in f.collect() if r.status == "applied"]
+    books = [(r.asset_id, r.seq) for r in parts[0].collect() if r.code is None]
+    after = lambda rows, a, seq: min((n for x, n in rows if x == a and n > seq), default=None)
+    want = {}
+    for r in applied:
+        if r.discriminating is None:
+            continue
+        touch = after([(x.asset_id, x.seq) for x in applied if (x.side, x.price) == (r.side, r.price)], r.asset_id, r.seq)
+        gone = min((x for x in (touch, after(books, r.asset_id, r.seq)) if x is not None), default=None)
+        seen = after(matched, r.asset_id, r.seq)
+        verdict = "validated" if seen is not None and (gone is None or seen < gone) else "pending" if gone is None else "superseded"
+        want[r.seq] = (gone, seen, verdict)
+    assert {r.seq: (r.superseded_at, r.validated_at, r.verdict) for r in out.collect()} == want
+    assert len(want) > 50 and {w[2] for w in want.values()} >= {"validated", "superseded"}
+
+
 def test_stream_equals_fold_in_any_batches(spark, tmp_path):
     rows = feed(4, 200)
     ddl = ENTRY.replace("decimal(38,18)", "string") + ", kind string, levels array<struct<side:string,price:string,size:string>>"
