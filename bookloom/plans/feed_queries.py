@@ -207,7 +207,7 @@ def rest_rows(spark, d, made=None):
     valid = F.coalesce((F.col("epoch") > 0) & (F.col("first_bad").isNull() | (F.col("first_bad") > F.col("n"))), F.lit(False))
     reads = reads.withColumn("valid", valid)
     window = {"now_valid": F.col("valid"), "state_valid_before": F.col("valid"), "state_valid_after": F.col("valid"), "now_session": F.col("session_id"), "state_session_before": F.col("session_id"), "state_session_after": F.col("session_id"), "now_version": F.col("version"), "state_version_after": F.col("version"), "state_version_before": F.col("version") - F.when(F.col("eid") % 5 == 0, 1).otherwise(0)}
-    reads = rest.align(reads.withColumns(window)).withColumn("rest_id", F.col("eid"))
+    reads = staged(rest.align(reads.withColumns(window)).withColumn("rest_id", F.col("eid")), "reads")
     live = reads.where("epoch > 0")
     own = replay.alive_at(live.select("rest_id", *replay.KEY, "n"), changed, ["rest_id"])
     extra = live.where("eid % 3 = 0").select("rest_id", F.lit("BUY").alias("side"), F.lit("0.95").cast(DECIMAL).alias("price"), F.lit(1).cast(DECIMAL).alias("size"))

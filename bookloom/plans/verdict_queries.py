@@ -8,6 +8,7 @@ from bookloom.functions.wire import has
 from bookloom.operators import frames, replay, rest
 from bookloom.sources import generated as g
 from bookloom.sources.schemas import BOOK_METADATA
+from bookloom.sources.staging import staged
 
 from . import feed_queries as q
 from . import verdicts as v
@@ -16,15 +17,18 @@ from . import verdicts as v
 def run_verdicts(spark, d):
     made = q.fates(spark, d)
     f, books, reads, match = q.rest_rows(spark, d, made)
-    found = frames.events(g.feed_frames(spark, d))
-    book_events = found.where("code IS NULL AND event_type = 'book'")
+    match = staged(match, "matches")
+    # what is asked of the events, so that their payloads are read once
+    held = F.col("code").isNull() & (F.col("event_type") == "book")
+    found = frames.events(g.feed_frames(spark, d)).select("code", "event_type", *(F.when(held, has(F.col("event"), f"$.{x}")).alias(x) for x in BOOK_METADATA))
+    found = staged(found, "found")
     first = q.first_state_events(spark, d)
     sessions = first.select("session_id").distinct().withColumns({"completed": F.lit(True), "controlled": F.lit(True), "error": F.lit(None).cast("string")})
     counters = replay.update_counters(f).withColumn("direct_mismatches", F.col("comparison_mismatch"))
     matched = reads.where("aligned").join(match.where("full_match"), "rest_id").select("asset_id", "seq")
     validated = rest.validations(f, books, matched).groupBy("discriminating", "verdict").agg(F.count("*").alias("updates"))
     named = rest.candidates(f, replay.versions(books, f)).select("kind", F.lit(False).alias("confirmed"))
-    presence = book_events.select(*(has(F.col("event"), f"$.{x}").alias(x) for x in BOOK_METADATA))
+    presence = found.where(held).select(*BOOK_METADATA)
     fields = rest.field_presence(reads.withColumn("code", F.lit(None).cast("string")).withColumn("fields", F.array(*map(F.lit, ("hash", "tick_size", "min_order_size", "neg_risk", "last_trade_price")))))
     parts = [
         v.schema(frames.event_counts(found), q.ordering_fields(spark, d)), v.reconnect(sessions, first), v.updates(counters, validated, named), v.repeats(q.repeat_counters(spark, d)),

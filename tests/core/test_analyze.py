@@ -1,7 +1,8 @@
 import hashlib
 import json
+import re
 
-from bookloom.plans import analyze, report
+from bookloom.plans import analyze, report, verdict_queries
 
 
 def book(ts, bids, asks):
@@ -108,3 +109,12 @@ def test_a_run_with_failures_and_true_hashes(spark, tmp_path):
     assert s["q8"]["status"] == "CONTRADICTED"
     text = report.render(s)
     assert "rest_timeout" in text and "After changes | 2 | 2 | 0 | 0" in text
+
+
+def test_run_verdicts_reads_payloads_once(spark):
+    """Of the plan that gives the verdicts, only the inventory of paths parses anything: the events are parsed before."""
+    out = verdict_queries.run_verdicts(spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"parse_?json", plan, re.I)) == 1
+    got = {r.question: r.status for r in out.collect()}
+    assert len(got) == 13 and set(got.values()) <= {"CONFIRMED", "CONTRADICTED", "UNRESOLVED", "NOT_OBSERVED"}
