@@ -23,6 +23,21 @@ def test_ids_are_the_tokenizers():
         assert packing.token_ids(t, PATH).tolist() == whole(t), t
 
 
+def test_words_that_are_met_again_stay_known(monkeypatch):
+    monkeypatch.setattr(packing, "WORDS", 40)
+    packing._words.cache_clear()
+    words = packing._words(PATH)
+    learn, learned = words.learn, []
+    monkeypatch.setattr(words, "learn", lambda new: (learned.extend(new), learn(new)))
+    rng = random.Random(3)
+    for _ in range(30):
+        t = " ".join(["often", "é'll", *("".join(rng.choices("abcdefgé", k=9)) for _ in range(4))])
+        assert packing.token_ids(t, PATH).tolist() == whole(t)
+    assert learned.count("often") == 1
+    assert len(words.known) + len(words.older) <= 50
+    packing._words.cache_clear()
+
+
 def check(rows, want):
     assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(want)
     bins = {}
