@@ -15,6 +15,8 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,54 +28,99 @@ from .storage import discard, materialize
 
 ROOM, END = 2048, 0
 SHARD, ISLANDS, EPOCHS, POPULATION, CHILDREN = 4096, 2, 2, 4, 12
-#: Words, and characters of them, that one worker remembers the ids of, in two halves: about 25 MB.
+#: Words, and characters of them, that one worker remembers the ids of, in two halves: about 25 MB, and those of one chunk.
 WORDS, WORD_CHARS = 100_000, 4 << 20
+#: Characters of texts that are cut into words at once; longer texts are cut into such chunks at white space.
+CHUNK = 1 << 19
 
-#: Characters for which the short pattern below cuts and lowers texts as the tokenizer does; other texts go through it whole.
+#: Characters for which the kinds below cut and lower texts as the tokenizer does; other texts go through it whole.
 _PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
-_TOKEN = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-z0-9ß-öø-ÿ]+")
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
+_BREAK = re.compile(r"[\t-\r ]")
+#: Of a byte of lowered plain text. Bytes of one kind make a word, but a digit or a text's end is one by itself.
+_SPACE, _LETTER, _SIGN, _DIGIT, _STOP = range(5)
+_KINDS = np.full(256, _SIGN, np.uint8)
+_KINDS[[*range(9, 14), 32]] = _SPACE
+_KINDS[[*range(97, 123), *range(128, 256)]] = _LETTER
+_KINDS[48:58] = _DIGIT
+_KINDS[0] = _STOP
+
+
+def cut(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the words of lowered plain text, one after the other, and where each begins, and the last one ends."""
+    kind = _KINDS[data]
+    first = np.ones(len(data), bool)
+    first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] >= _DIGIT)
+    starts = np.flatnonzero(first)
+    kinds = kind[starts]
+    # an apostrophe that no sign stands beside takes s, t, m, d, re, ve or ll after it
+    lone = np.flatnonzero((data[starts[:-1]] == ord("'")) & (kinds[1:] == _LETTER) & (np.diff(starts) == 1))
+    if len(lone):
+        at = starts[lone] + 1
+        one, two = data[at], data[np.minimum(at + 1, len(data) - 1)]
+        pair = (two == ord("e")) & np.isin(one, list(b"rv")) | (one == ord("l")) & (two == ord("l")) & (at + 1 < len(data))
+        starts[lone + 1] += np.where(pair, 2, np.isin(one, list(b"stmd")))
+    sizes = np.diff(starts, append=len(data))
+    return data[kind != _SPACE], np.concatenate(([0], np.cumsum(sizes[(kinds != _SPACE) & (sizes > 0)])))
 
 
 class _Words:
-    """Ids, as bytes, of words seen before; new words of a text go through the tokenizer together.
+    """Ids, as bytes, of words seen before; a chunk's distinct words are looked up once, new ones go to the model.
 
     Words are held in two halves: when one is full the other is forgotten but for words that are met again.
     """
 
     def __init__(self, tokenizer):
-        from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import CharDelimiterSplit, Sequence
-
-        self.tokenizer = tokenizer
-        # the same model and bytes for words that are cut and lowered already: what prepares a text has nothing left to do
-        self.plain = Tokenizer(tokenizer.model)
-        self.plain.pre_tokenizer = Sequence([CharDelimiterSplit(" "), tokenizer.pre_tokenizer[1]])
-        vocabulary = tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[k for w, k in vocabulary.items() if w.endswith("</w>")]] = True
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        # the model knows bytes by signs of their own; the others are Latin-1's
+        level = tokenizer.pre_tokenizer[1]
+        signs = {c.encode().decode("latin-1"): level.pre_tokenize_str(c)[0][0] for c in "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"}
+        self.signs = [(a, b) for a, b in signs.items() if a != b]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.held = 0
 
     def learn(self, words: list[str]) -> None:
-        """Each word is one of the tokenizer's own, so its ids end where a token ends a word."""
-        (found,) = self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)
-        ids = np.array(found.ids, "<u4")
-        ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        raw = ids.tobytes()
-        self.known.update((w, raw[a:z]) for w, a, z in zip(words, [0, *ends[:-1]], ends, strict=True))
-
-    def ids(self, words: list[str]) -> bytes:
+        """Words that are cut and lowered already have nothing left of the tokenizer but the model."""
+        text = " ".join(words).encode().decode("latin-1")
+        for a, b in self.signs:
+            text = text.replace(a, b)
+        tokenize = self.model.tokenize
+        self.known.update((w, array("I", [t.id for t in tokenize(s)]).tobytes()) for w, s in zip(words, text.split(" "), strict=True))
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """Of distinct words."""
         if 2 * len(self.known) > WORDS or 2 * self.held > WORD_CHARS:
             self.known, self.older, self.held = {}, self.known, 0
-        met = set(words).difference(self.known)
-        if met:
+        found = list(map(self.known.get, words))
+        if met := [w for w, ids in zip(words, found, strict=True) if ids is None]:
             self.held += sum(map(len, met))
-            self.known.update((w, self.older[w]) for w in met if w in self.older)
-            if new := [w for w in met if w not in self.older]:
+            old = list(map(self.older.get, met))
+            self.known.update((w, ids) for w, ids in zip(met, old, strict=True) if ids)
+            if new := [w for w, ids in zip(met, old, strict=True) if not ids]:
                 self.learn(new)
-        return b"".join(map(self.known.__getitem__, words))
+            found = list(map(self.known.__getitem__, words))
+        return found
+
+    def chunk(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lowered plain texts, a NUL after each being its end id, and where each text's ids end."""
+        data, ends = cut(np.frombuffer(text.encode(), np.uint8))
+        words = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(data)).dictionary_encode()
+        which, words = words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        stop = words.index("\0") if "\0" in words else len(words)
+        found = self.ids(words[:stop] + words[stop + 1 :])
+        found.insert(stop, END.to_bytes(4, "little"))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begin, size = (np.cumsum(sizes) - sizes)[which], sizes[which]
+        end = np.cumsum(size)
+        ids = np.frombuffer(b"".join(found), "<u4")
+        return ids[np.repeat(begin - end + size, size) + np.arange(size.sum())], end[which == stop]
+
+    def each(self, texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        ids, ends = self.chunk("\0".join([*texts, ""]))
+        return np.split(ids, ends[:-1])
 
 
 @lru_cache(maxsize=2)
@@ -83,18 +130,44 @@ def _words(path: str) -> _Words:
     return _Words(Tokenizer.from_file(path))
 
 
-def token_bytes(text: str | None, path: str) -> bytes:
-    """The tokenizer's ids, made word by word where that is the same, and the end id; four bytes each, the least first."""
-    words, text = _words(path), text or ""
-    if _PLAIN.fullmatch(text) and not ("<|" in text and _SPECIAL.search(text)):
-        ids = words.ids(_TOKEN.findall(text.lower()))
-    else:
-        ids = np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    return ids + END.to_bytes(4, "little")
+def _chunks(text: str) -> Iterator[str]:
+    at = 0
+    while len(text) - at > CHUNK and (m := _BREAK.search(text, at + CHUNK)):
+        yield text[at : m.end()]
+        at = m.end()
+    yield text[at:]
+
+
+def text_ids(texts: Iterable[str | None], path: str) -> Iterator[np.ndarray]:
+    """The tokenizer's ids of each text, made word by word where that is the same, and the end id."""
+    words = _words(path)
+    held: list[str | np.ndarray] = []  # a short text waits for others, a text's ids for those before it
+
+    def flush() -> Iterator[np.ndarray]:
+        parts = iter(words.each([t for t in held if isinstance(t, str)]))
+        for t in held:
+            yield next(parts) if isinstance(t, str) else t
+        held.clear()
+
+    size = 0
+    for text in texts:
+        text = text or ""
+        size += len(text)
+        if size > CHUNK:
+            yield from flush()
+            size = len(text)
+        if not _PLAIN.fullmatch(text) or ("<|" in text and _SPECIAL.search(text)):
+            held.append(np.array([*words.tokenizer.encode(text, add_special_tokens=False).ids, END], "<u4"))
+        elif len(text) > CHUNK:
+            held.append(np.concatenate([words.chunk(c)[0] for c in _chunks(f"{text.lower()}\0")]))
+        else:
+            held.append(text.lower())
+    yield from flush()
 
 
 def token_ids(text: str | None, path: str) -> np.ndarray:
-    return np.frombuffer(token_bytes(text, path), "<u4")
+    (ids,) = text_ids([text], path)
+    return ids
 
 
 def default_tokenizer() -> str:
@@ -111,15 +184,15 @@ def pieces(documents: DataFrame, tokenizer: str | None = None, room: int = ROOM)
         for b in batches:
             rows: list[tuple] = []
             who: list[int] = []
-            for k, t in enumerate(b.column(1)):
-                ids = token_bytes(t.as_py(), path)
-                for p, s in enumerate(range(0, len(ids) // 4, room)):
-                    part = ids[4 * s : 4 * (s + room)]
+            for k, ids in enumerate(text_ids((t.as_py() for t in b.column(1)), path)):
+                for p, s in enumerate(range(0, len(ids), room)):
+                    part = ids[s : s + room]
                     who.append(k)
-                    rows.append((p, s, len(part) // 4, zlib.crc32(part)))
+                    rows.append((p, s, len(part), zlib.crc32(part)))
             cols = zip(*rows, strict=True) if rows else ([],) * 4
             types = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([b.column(0).take(pa.array(who, pa.int64())), *(pa.array(list(c), t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            pa.default_memory_pool().release_unused()  # what the batch's words took
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

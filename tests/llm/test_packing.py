@@ -38,6 +38,39 @@ def test_words_that_are_met_again_stay_known(monkeypatch):
     packing._words.cache_clear()
 
 
+def test_a_text_looks_each_word_up_once(monkeypatch):
+    packing._words.cache_clear()
+    words = packing._words(PATH)
+    ids, asked = words.ids, []
+    monkeypatch.setattr(words, "ids", lambda some: (asked.extend(some), ids(some))[1])
+    t = "Some words' WORDS again, it's again 12 " * 200
+    assert packing.token_ids(t, PATH).tolist() == whole(t)
+    assert sorted(asked) == sorted({"some", "words", "'", "again", ",", "it", "'s", "1", "2"})
+    packing._words.cache_clear()
+
+
+def test_a_long_text_does_not_fill_the_words(monkeypatch):
+    monkeypatch.setattr(packing, "WORDS", 100)
+    monkeypatch.setattr(packing, "CHUNK", 200, raising=False)
+    packing._words.cache_clear()
+    rng = random.Random(5)
+    t = " ".join("".join(rng.choices("abcdefgé", k=9)) for _ in range(3000))
+    assert packing.token_ids(t, PATH).tolist() == whole(t)
+    words = packing._words(PATH)
+    assert len(words.known) + len(words.older) <= 150
+    packing._words.cache_clear()
+
+
+def test_texts_of_a_batch_keep_their_ids(monkeypatch):
+    rng = random.Random(6)
+    signs = ["'", "'s", "'re", "'L", "'ll", "''d", "-'t", "'v", "e", "É", "ßa", "à", "í", "12", "<|", "|>", " ", "\n", "\t ", "ab", "x\0y", "ﬁ"]
+    texts = [*TEXTS, *("".join(rng.choices(signs, k=rng.randrange(40))) for _ in range(400)), "", None]
+    want = [whole(t) for t in texts]
+    for chunk in (1, 7, 60, 1 << 19):
+        monkeypatch.setattr(packing, "CHUNK", chunk)
+        assert [ids.tolist() for ids in packing.text_ids(texts, PATH)] == want, chunk
+
+
 def check(rows, want):
     assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(want)
     bins = {}
